@@ -75,3 +75,36 @@ def global_rank(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     inside = F.coalesce(F.sum(_COUNT).over(lower), F.lit(0))
     ranks = placed.select(_KEY, (F.col(_BEFORE) + inside + 1).cast("bigint").alias(name))
     return keyed.join(ranks, _KEY).drop(_KEY)
+
+
+def value_positions(df: DataFrame, value: Column) -> DataFrame:
+    """Each distinct value with its number of rows and the 0-based position of the first of them."""
+    counts = df.select(F.struct(value.alias("k0")).alias(_KEY)).groupBy(_KEY).agg(F.count(F.lit(1)).alias(_COUNT))
+    placed = _with_rows_before(_with_bucket(counts), F.col(_COUNT))
+    lower = Window.partitionBy(_BUCKET).orderBy(_KEY).rowsBetween(Window.unboundedPreceding, -1)
+    first = F.col(_BEFORE) + F.coalesce(F.sum(_COUNT).over(lower), F.lit(0))
+    return placed.select(F.col(f"{_KEY}.k0").alias("value"), F.col(_COUNT).alias("rows"), first.alias("first"))
+
+
+def exact_quantiles(df: DataFrame, value: Column, quantiles: dict[str, float]) -> DataFrame:
+    """One row of exact quantiles, linearly interpolated between neighbouring rows.
+
+    The built-in exact percentile keeps every distinct value in one aggregation
+    buffer. Here values are counted and placed in distributed buckets, and only
+    the values at the wanted positions reach the final row.
+    """
+    present = df.select(value.alias("v")).filter(F.col("v").isNotNull())
+    total = present.agg(F.count(F.lit(1)))
+    positions = value_positions(present, F.col("v")).withColumn("_n", total.scalar())
+    at = lambda place: F.max(
+        F.when((F.col("first") <= place) & (place < F.col("first") + F.col("rows")), F.col("value"))
+    )
+    edges = {}
+    for name, q in quantiles.items():
+        place = (F.col("_n") - 1) * F.lit(float(q))
+        edges[f"{name}_lo"], edges[f"{name}_hi"] = at(F.floor(place)), at(F.ceil(place))
+        edges[f"{name}_part"] = F.max(place - F.floor(place))
+    picked = positions.agg(*[c.alias(name) for name, c in edges.items()])
+    return picked.select(*[
+        (F.col(f"{n}_lo") + (F.col(f"{n}_hi") - F.col(f"{n}_lo")) * F.col(f"{n}_part")).alias(n) for n in quantiles
+    ])

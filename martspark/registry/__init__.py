@@ -2,6 +2,9 @@
 
 from martspark.registry.base import ORACLES, QUERIES
 from martspark.registry import (  # noqa: F401  (importing a module registers its queries)
+    analytics,
+    checks,
+    feed,
     layers,
 )
 
