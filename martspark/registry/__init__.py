@@ -5,7 +5,9 @@ from martspark.registry import (  # noqa: F401  (importing a module registers it
     analytics,
     checks,
     feed,
+    forecasting,
     layers,
+    vectors,
 )
 
 __all__ = ["ORACLES", "QUERIES"]
