@@ -44,7 +44,7 @@ def nearest(
 
     def multiply(query_rows: pd.DataFrame, item_rows: pd.DataFrame) -> pd.DataFrame:
         if query_rows.empty or item_rows.empty:
-            return pd.DataFrame({"query_id": [], "item_id": [], "similarity": []})
+            return pd.DataFrame({c: pd.Series([], dtype=object) for c in ("query_id", "item_id", "similarity")})
         item_rows = item_rows.sort_values("item_id", ignore_index=True)
         query_ids, item_ids = query_rows["query_id"].to_numpy(), item_rows["item_id"].to_numpy()
         items = np.stack(item_rows["vector"].to_numpy())

@@ -11,7 +11,7 @@ from martspark.operators.catalog import search
 from martspark.plans import analytics
 from martspark.sources.warehouse import append_alerts, append_reports
 
-DEVIATION_LIMIT_PCT = 200.0
+DEVIATION_LIMIT_PCT, STOCK_LIMIT = 200.0, 0.5
 
 
 class MonitoringRun(NamedTuple):
@@ -25,6 +25,8 @@ def monitoring_report(
     stores: tuple[str, ...] = ("CA_1", "TX_1"),
     index: DataFrame | None = None,
     questions=None,
+    deviation_limit: float = DEVIATION_LIMIT_PCT,
+    stock_limit: float = STOCK_LIMIT,
 ) -> MonitoringRun:
     """One monitoring run over the demand mart.
 
@@ -39,13 +41,13 @@ def monitoring_report(
         rows = analytics.inventory_status(demand, store)
         stock = rows if stock is None else stock.unionByName(rows)
 
-    deviating = forecast.deviations.filter(F.col("mape_pct") > DEVIATION_LIMIT_PCT).select(
+    deviating = forecast.deviations.filter(F.col("mape_pct") > deviation_limit).select(
         F.lit("high").alias("severity"),
         F.concat_ws(" ", F.lit("Demand deviates in"), "store_id", "dept_id", "cat_id").alias("title"),
         F.format_string("%d units against a baseline of %.1f", "actual_units", "forecast_proxy").alias("message"),
         F.lit("Check promotions and data feeds of the department.").alias("recommended_action"),
     )
-    low_stock = stock.filter(F.col("days_of_stock_proxy") < 0.5).select(
+    low_stock = stock.filter(F.col("days_of_stock_proxy") < stock_limit).select(
         F.lit("medium").alias("severity"),
         F.concat_ws(" ", F.lit("Low sales against baseline in"), "store_id", "dept_id").alias("title"),
         F.format_string("ratio %.2f", "days_of_stock_proxy").alias("message"),

@@ -7,6 +7,8 @@ from martspark.registry import (  # noqa: F401  (importing a module registers it
     feed,
     forecasting,
     layers,
+    storage,
+    streams,
     vectors,
 )
 

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from martspark.session import written
+
 EXTRA_FIELD = "_surplus"
 
 
@@ -40,9 +42,9 @@ def malformed_csv_lines(spark: SparkSession, path: str, schema: T.StructType) ->
         .option("columnNameOfCorruptRecord", "_corrupt_record")
         .csv(path)
     )
-    # Selecting every field keeps the parser from pruning columns before it checks a line.
-    fields = [f.name for f in schema.fields]
-    return raw.filter(F.col("_corrupt_record").isNotNull()).select(*fields, "_corrupt_record")
+    # Written once with every field: a later selection would let the parser skip
+    # columns before it has checked the line.
+    return written(raw, "csv-audit").filter(F.col("_corrupt_record").isNotNull())
 
 
 def stacked(*frames: DataFrame) -> DataFrame:
