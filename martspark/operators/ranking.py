@@ -1,12 +1,12 @@
-"""Global order positions and ranks without sending all rows to one task.
+"""Global order positions, ranks and quantiles without sending all rows to one task.
 
 A window without a partition key sorts the whole table in a single task. Here
-the sort key's range is cut into buckets at split points, each bucket is ordered
-on its own, and the number of rows in lower buckets is added as an offset.
+Spark range-partitions the rows by the sort key, each partition is ordered on
+its own, and the number of rows in lower partitions is added as an offset.
 
-The split points come from a bounded, deterministic sample of the distinct keys
-(lowest hash first), so a recomputed task always sees the same buckets. They
-only steer balance: any split points give the same ranks.
+The partitioned rows are written to the shared folder together with their
+partition number: the offsets and the ordering must see the same boundaries,
+also when a lost task is run again.
 """
 
 from __future__ import annotations
@@ -14,14 +14,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SAMPLED_KEYS = 10_240
-BUCKETS = 256
+from martspark.session import written
 
-_KEY, _BUCKET, _COUNT, _BEFORE = "_order_key", "_bucket", "_rows", "_rows_before"
+_PART, _COUNT, _BEFORE = "_part", "_rows", "_rows_before"
 
 
-def _order_key(order: list[Column]) -> Column:
-    return F.struct(*[column.alias(f"k{i}") for i, column in enumerate(order)])
+def _named(order: list[Column]) -> dict[str, Column]:
+    return {f"_k{i}": column for i, column in enumerate(order)}
 
 
 def descending(value: Column) -> list[Column]:
@@ -29,25 +28,23 @@ def descending(value: Column) -> list[Column]:
     return [value.isNull(), -value]
 
 
-def _with_bucket(keyed: DataFrame) -> DataFrame:
-    """Add the range bucket of ``_order_key``; equal keys always share one."""
-    sample = keyed.select(_KEY).distinct().orderBy(F.xxhash64(_KEY), _KEY).limit(SAMPLED_KEYS)
-    step = SAMPLED_KEYS // BUCKETS
-    splits = sample.agg(F.sort_array(F.collect_list(_KEY)).alias("keys")).select(
-        F.filter("keys", lambda _, i: i % step == step - 1)
-    )
-    # The lambda needs the split points as a column of the row.
-    located = keyed.withColumn("_splits", splits.scalar())
-    below = F.filter("_splits", lambda split: split < F.col(_KEY))
-    return located.withColumn(_BUCKET, F.size(below)).drop("_splits")
+def _in_ranges(df: DataFrame, keys: list[str], label: str) -> DataFrame:
+    """Rows with the number of their key range; equal keys always share one."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(parts, *[F.col(k).asc_nulls_first() for k in keys])
+    return written(ranged.withColumn(_PART, F.spark_partition_id()), label)
+
+
+def _with_rows_before(ranged: DataFrame, rows: Column) -> DataFrame:
+    """Add the number of rows in all lower ranges; there is one sum per range to broadcast."""
+    totals = ranged.groupBy(_PART).agg(F.sum(rows).alias("_total"))
+    lower = Window.orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(_PART, F.coalesce(F.sum("_total").over(lower), F.lit(0)).alias(_BEFORE))
+    return ranged.join(F.broadcast(offsets), _PART)
 
 
-def _with_rows_before(bucketed: DataFrame, rows: Column) -> DataFrame:
-    """Add the number of rows in all lower buckets (at most ``BUCKETS`` + 1 sums)."""
-    totals = bucketed.groupBy(_BUCKET).agg(F.sum(rows).alias("_total"))
-    lower = Window.orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(_BUCKET, F.coalesce(F.sum("_total").over(lower), F.lit(0)).alias(_BEFORE))
-    return bucketed.join(F.broadcast(offsets), _BUCKET)
+def _inside(keys: list[str]) -> Window:
+    return Window.partitionBy(_PART).orderBy(*[F.col(k).asc_nulls_first() for k in keys])
 
 
 def global_row_number(df: DataFrame, order: list[Column], name: str) -> DataFrame:
@@ -56,10 +53,18 @@ def global_row_number(df: DataFrame, order: list[Column], name: str) -> DataFram
     ``order`` should identify a row; rows that tie on all of it are numbered in
     an arbitrary order, as ``row_number`` does.
     """
-    bucketed = _with_bucket(df.withColumn(_KEY, _order_key(order)))
-    placed = _with_rows_before(bucketed, F.lit(1))
-    inside = F.row_number().over(Window.partitionBy(_BUCKET).orderBy(_KEY))
-    return placed.withColumn(name, (F.col(_BEFORE) + inside).cast("bigint")).drop(_KEY, _BUCKET, _BEFORE)
+    keys = _named(order)
+    placed = _with_rows_before(_in_ranges(df.withColumns(keys), list(keys), "row-numbers"), F.lit(1))
+    position = F.col(_BEFORE) + F.row_number().over(_inside(list(keys)))
+    return placed.withColumn(name, position.cast("bigint")).drop(*keys, _PART, _BEFORE)
+
+
+def _first_positions(counts: DataFrame, keys: list[str], label: str) -> DataFrame:
+    """Distinct keys with their row count and the number of rows before the first of them."""
+    placed = _with_rows_before(_in_ranges(counts, keys, label), F.col(_COUNT))
+    lower = _inside(keys).rowsBetween(Window.unboundedPreceding, -1)
+    first = F.col(_BEFORE) + F.coalesce(F.sum(_COUNT).over(lower), F.lit(0))
+    return placed.select(*keys, _COUNT, first.alias("_first"))
 
 
 def global_rank(df: DataFrame, order: list[Column], name: str) -> DataFrame:
@@ -68,37 +73,31 @@ def global_rank(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     Rows are counted per distinct key first, so however many rows tie on one key
     they reach the ordering step as a single row, and the ranks are joined back.
     """
-    keyed = df.withColumn(_KEY, _order_key(order))
-    counts = keyed.groupBy(_KEY).agg(F.count(F.lit(1)).alias(_COUNT))
-    placed = _with_rows_before(_with_bucket(counts), F.col(_COUNT))
-    lower = Window.partitionBy(_BUCKET).orderBy(_KEY).rowsBetween(Window.unboundedPreceding, -1)
-    inside = F.coalesce(F.sum(_COUNT).over(lower), F.lit(0))
-    ranks = placed.select(_KEY, (F.col(_BEFORE) + inside + 1).cast("bigint").alias(name))
-    return keyed.join(ranks, _KEY).drop(_KEY)
-
-
-def value_positions(df: DataFrame, value: Column) -> DataFrame:
-    """Each distinct value with its number of rows and the 0-based position of the first of them."""
-    counts = df.select(F.struct(value.alias("k0")).alias(_KEY)).groupBy(_KEY).agg(F.count(F.lit(1)).alias(_COUNT))
-    placed = _with_rows_before(_with_bucket(counts), F.col(_COUNT))
-    lower = Window.partitionBy(_BUCKET).orderBy(_KEY).rowsBetween(Window.unboundedPreceding, -1)
-    first = F.col(_BEFORE) + F.coalesce(F.sum(_COUNT).over(lower), F.lit(0))
-    return placed.select(F.col(f"{_KEY}.k0").alias("value"), F.col(_COUNT).alias("rows"), first.alias("first"))
+    keys = _named(order)
+    keyed = df.withColumns(keys)
+    counts = keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias(_COUNT))
+    ranks = _first_positions(counts, list(keys), "ranks").select(
+        *[F.col(k).alias(f"_r{k}") for k in keys], (F.col("_first") + 1).cast("bigint").alias(name)
+    )
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_r{k}"))
+    return keyed.join(ranks, same).drop(*keys, *[f"_r{k}" for k in keys])
 
 
 def exact_quantiles(df: DataFrame, value: Column, quantiles: dict[str, float]) -> DataFrame:
     """One row of exact quantiles, linearly interpolated between neighbouring rows.
 
     The built-in exact percentile keeps every distinct value in one aggregation
-    buffer. Here values are counted and placed in distributed buckets, and only
+    buffer. Here values are counted and placed in distributed ranges, and only
     the values at the wanted positions reach the final row.
     """
-    present = df.select(value.alias("v")).filter(F.col("v").isNotNull())
-    total = present.agg(F.count(F.lit(1)))
-    positions = value_positions(present, F.col("v")).withColumn("_n", total.scalar())
-    at = lambda place: F.max(
-        F.when((F.col("first") <= place) & (place < F.col("first") + F.col("rows")), F.col("value"))
-    )
+    present = df.select(value.alias("_k0")).filter(F.col("_k0").isNotNull())
+    counts = present.groupBy("_k0").agg(F.count(F.lit(1)).alias(_COUNT))
+    placed = _first_positions(counts, ["_k0"], "quantiles")
+    total = placed.agg(F.sum(_COUNT))
+    positions = placed.withColumn("_n", total.scalar())
+    at = lambda place: F.max(F.when((F.col("_first") <= place) & (place < F.col("_first") + F.col(_COUNT)), F.col("_k0")))
     edges = {}
     for name, q in quantiles.items():
         place = (F.col("_n") - 1) * F.lit(float(q))
