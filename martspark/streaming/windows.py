@@ -33,26 +33,23 @@ def rate_limited_stream(
 ) -> DataFrame:
     """Decide the requests of a stream in arrival order of micro-batches.
 
-    The state of a client is its live accepted times, at most ``limit`` of them,
-    and is dropped once the client has been silent for a while. A client's rows
-    of one micro-batch are ordered by time before they are decided.
+    The state of a client is its live accepted times, at most ``limit`` of them.
+    There is no processing-time timeout, as it would keep a run over available
+    input from ending. A client's rows of one micro-batch are ordered by time
+    before they are decided.
     """
     window_us = window_seconds * 1_000_000
     columns = log.columns
 
     def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
         accepted = deque(state.get[0]) if state.exists else deque()
         rows = pd.concat(list(frames)).sort_values(["ts", "request_id"])
         times = rows["ts"].astype("datetime64[us]").astype("int64").to_numpy()
         decisions = decide(times, accepted, limit, window_us)
         state.update(([int(x) for x in accepted],))
-        state.setTimeoutDuration(window_seconds * 1_000 * 60)
         yield rows[columns].assign(accepted=decisions)
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in log.schema.fields)
     return log.groupBy("client").applyInPandasWithState(
-        step, f"{fields}, accepted boolean", "accepted array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout
+        step, f"{fields}, accepted boolean", "accepted array<long>", "append", GroupStateTimeout.NoTimeout
     )
