@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from martspark.functions.numeric import stable_round
+from martspark.session import ship_package
 from martspark.sources.tables import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +24,7 @@ def query(name: str, sql: str | None = None):
             raise ValueError(f"query {name} is registered twice")
 
         def run(spark: SparkSession, folder: str) -> DataFrame:
+            ship_package(spark)
             return comparable(fn(Tables(spark, folder)))
 
         run.__name__ = name

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -72,3 +74,22 @@ def written(df, label: str):
     path = working_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once per Spark application.
+
+    Python functions that run in tasks import it; a cluster's machines need not
+    have it installed. Spark hands the archive out itself, so it may lie in a
+    folder of the driver.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_martspark_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="martspark-code-")) / "martspark.zip"
+    with zipfile.ZipFile(archive, "w") as bundle:
+        for source in sorted(package.rglob("*.py")):
+            bundle.write(source, source.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    context._martspark_shipped = True
