@@ -1 +1,47 @@
-"""The corpus pipeline: five stages over ``documents``, each written and read again."""
+"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again by the next.
+
+A stage takes ``(spark, docs, sf_dir)``. Its decisions take effect: later stages
+see only what it kept. All but the last return the columns of ``documents``.
+Each stage handles nulls, empty and repeated rows, empty tables and extra columns
+as its operator's docstring says.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from martspark.llm.bpe import default_tokenizer
+from martspark.llm.simhash import drop_near_duplicates
+from martspark.llm.token_files import token_digests
+from martspark.session import ship_package, written
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each SimHash group stays (op 5)."""
+    ship_package(spark)
+    return drop_near_duplicates(docs)
+
+
+def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files of what is left, digested per document (op 2)."""
+    ship_package(spark)
+    return token_digests(docs, default_tokenizer())
+
+
+STAGES = [
+    ("near_duplicates", near_duplicates),
+    ("token_files", token_files),
+]
+
+# Hashing, model fitting and tokenizing stages have no SQL form.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of ``sf_dir``."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = written(docs, f"stage-{name}")
+    return docs

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from martspark.llm.bpe import default_tokenizer
+from martspark.llm.simhash import near_duplicates
 from martspark.llm.token_files import token_digests
 from martspark.session import ship_package
 
@@ -36,3 +37,9 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def op2_token_files(spark: SparkSession, folder: str) -> DataFrame:
     """Token files of all documents, digested per document from the files."""
     return token_digests(table(spark, folder, "documents"), default_tokenizer())
+
+
+@query("op5_simhash_near_duplicates")
+def op5_simhash_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    return near_duplicates(table(spark, folder, "documents")).select("doc_id", "fingerprint", "component_id", "n_rows")

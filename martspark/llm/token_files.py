@@ -40,7 +40,6 @@ from martspark.session import working_path
 SEQUENCE_LENGTH = 2048
 END_ID = 0
 ROWS_PER_BATCH = 256
-BYTES_PER_SHARD = 64 << 20
 
 MANIFEST = "shard int, file string, n_docs long, n_ids long, length int"
 
@@ -78,14 +77,13 @@ class _ShardWriter:
         self.held.append(ids.astype(self.dtype))
         self.n_held += len(ids)
         self.n_ids += len(ids)
-        if self.n_held >= self.length * ROWS_PER_BATCH:
-            self._write(self.n_held // self.length * self.length)
-
-    def _write(self, n: int) -> None:
-        joined = np.concatenate(self.held) if self.held else np.zeros(0, self.dtype)
-        for at in range(0, n, self.length * ROWS_PER_BATCH):
-            self._batch(joined[at:min(n, at + self.length * ROWS_PER_BATCH)])
-        self.held, self.n_held = [joined[n:]], self.n_held - n
+        width = self.length * ROWS_PER_BATCH
+        if self.n_held >= width:
+            joined = np.concatenate(self.held)
+            whole = len(joined) // width * width
+            for at in range(0, whole, width):
+                self._batch(joined[at:at + width])
+            self.held, self.n_held = [joined[whole:].copy()], len(joined) - whole
 
     def _batch(self, ids: np.ndarray) -> None:
         padding = -len(ids) % self.length
@@ -98,7 +96,7 @@ class _ShardWriter:
         self.writer.write_batch(pa.record_batch(columns, schema=self.schema))
 
     def close(self) -> None:
-        self._write(self.n_held // self.length * self.length)
+        """All batches but the last have the same number of rows, as readers rely on."""
         if self.n_held:
             self._batch(np.concatenate(self.held))
         self.writer.close()
