@@ -11,11 +11,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from martspark.llm.bpe import default_tokenizer
+from martspark.llm.quality_rules import keep_good
 from martspark.llm.simhash import drop_near_duplicates
 from martspark.llm.token_files import token_digests
 from martspark.session import ship_package, written
 
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go (op 3)."""
+    return keep_good(docs)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash group stays (op 5)."""
     ship_package(spark)
@@ -29,6 +35,7 @@ def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("quality_rules", quality_rules),
     ("near_duplicates", near_duplicates),
     ("token_files", token_files),
 ]

@@ -16,7 +16,7 @@ from itertools import islice
 
 import numpy as np
 
-KEPT_SEGMENTS = 400_000
+KEPT_SEGMENTS = 600_000
 KEPT_LENGTH = 64
 
 _ODD_SPACES = re.compile(r" (?=\s)| $")

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from martspark.llm.bpe import default_tokenizer
+from martspark.llm.quality_rules import quality_verdicts
 from martspark.llm.simhash import near_duplicates
 from martspark.llm.token_files import token_digests
 from martspark.session import ship_package
@@ -43,3 +44,56 @@ def op2_token_files(spark: SparkSession, folder: str) -> DataFrame:
 def op5_simhash_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint and component of every document."""
     return near_duplicates(table(spark, folder, "documents")).select("doc_id", "fingerprint", "component_id", "n_rows")
+
+
+OP3_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(lang, '') AS lang FROM documents),
+w AS (SELECT *, [x FOR x IN regexp_split_to_array(text, '[\x20\x09-\x0D]+') IF x <> ''] AS words FROM d),
+k AS (SELECT *, [CAST(length(regexp_replace(text, p, '', 'g')) AS BIGINT)
+                 FOR p IN ['[^a-z]+', '[^\x20\x09-\x0D]+', '[^A-Z]+', '[^.,;:!?''"()-]+', '[^#*$%&|<>]+', '[^0-9]+']] AS k6
+      FROM w),
+c AS (SELECT *, list_append(k6, CAST(length(text) - list_sum(k6) AS BIGINT)) AS classes FROM k),
+counts AS (SELECT lang, CASE WHEN length(word) <= 6 AND NOT regexp_matches(word, '[#*$%&|<>]') THEN word END AS word,
+                  count(*) AS n FROM (SELECT lang, unnest(words) AS word FROM w) GROUP BY ALL),
+totals AS (SELECT lang, sum(n) AS n_words FROM counts GROUP BY lang HAVING sum(n) >= 1000),
+ranked AS (SELECT lang, word, n, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS r
+           FROM counts JOIN totals USING (lang) WHERE word IS NOT NULL AND n * 1000 >= n_words),
+word_refs AS (SELECT lang, list(word ORDER BY r) AS common, list(n ORDER BY r) AS ns FROM ranked WHERE r <= 16 GROUP BY lang),
+class_refs AS (SELECT lang, list(CAST(s AS DOUBLE) ORDER BY j) AS cs FROM (
+                 SELECT lang, j, sum(classes[j]) AS s FROM c, range(1, 8) AS t(j) GROUP BY ALL) GROUP BY lang),
+refs AS (SELECT lang, common, [x / n_words FOR x IN list_append(ns, n_words - list_sum(ns))] AS word_q,
+                [x / list_sum(cs) FOR x IN cs] AS class_q
+         FROM totals JOIN word_refs USING (lang) JOIN class_refs USING (lang)),
+spots AS (SELECT DISTINCT doc_id, pos + s AS pos FROM (
+            SELECT doc_id, pos, count(*) OVER (PARTITION BY doc_id, win) AS n FROM (
+              SELECT doc_id, pos, list_slice(words, pos, pos + 2) AS win
+              FROM (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS pos FROM w WHERE len(words) >= 3))),
+            (VALUES (0), (1), (2)) AS t(s) WHERE n > 1),
+rep AS (SELECT doc_id, count(*) AS n_rep FROM spots GROUP BY doc_id),
+f AS (SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, length(text) - classes[2] AS word_chars, classes[5] AS n_symbols,
+             CAST(len(good) - len(list_distinct(good)) AS BIGINT) AS n_dup_lines, coalesce(n_rep, 0) AS n_repeat_words,
+             [x / nullif(length(text), 0) FOR x IN classes] AS class_p, class_q, word_q,
+             [len([x FOR x IN words IF x = y]) / nullif(len(words), 0) FOR y IN common] AS common_p,
+      FROM (SELECT *, [x FOR x IN string_split(text, chr(10)) IF regexp_matches(x, '[^\x20\x09-\x0D]')] AS good FROM c)
+      LEFT JOIN rep USING (doc_id) LEFT JOIN refs USING (lang)),
+g AS (SELECT *, list_append(common_p, 1 - list_sum(common_p)) AS word_p FROM f),
+j AS (SELECT *, [CASE WHEN class_p[i] > 0 THEN class_p[i] * log2(2 * class_p[i] / (class_p[i] + class_q[i])) ELSE 0 END
+                 + CASE WHEN class_q[i] > 0 THEN class_q[i] * log2(2 * class_q[i] / (class_p[i] + class_q[i])) ELSE 0 END
+                 FOR i IN range(1, len(class_q) + 1)] AS cj,
+             [CASE WHEN word_p[i] > 1e-12 THEN word_p[i] * log2(2 * word_p[i] / (word_p[i] + word_q[i])) ELSE 0 END
+                 + CASE WHEN word_q[i] > 0 THEN word_q[i] * log2(2 * word_q[i] / (word_p[i] + word_q[i])) ELSE 0 END
+                 FOR i IN range(1, len(word_q) + 1)] AS wj FROM g),
+v AS (SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+             n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+             CASE WHEN len(class_p) > 0 AND class_p[1] IS NOT NULL THEN sqrt(greatest(list_sum(cj) / 2, 0.0)) END AS cd,
+             CASE WHEN n_words > 0 THEN sqrt(greatest(list_sum(wj) / 2, 0.0)) END AS wd FROM j)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND NOT coalesce((n_words >= 50 AND cd > 0.30) OR (n_words >= 100 AND wd > 0.30), false) AS kept,
+       round(cd, 4) AS char_distance, round(wd, 4) AS word_distance
+FROM v"""
+
+
+@query("op3_quality_rules", OP3_SQL)
+def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Base counts, divergences and verdict of every document."""
+    return quality_verdicts(table(spark, folder, "documents"))
