@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from martspark.llm.bpe import default_tokenizer
+from martspark.llm.decontaminate import drop_contaminated
+from martspark.llm.mixing import sample_mixture
 from martspark.llm.quality_rules import keep_good
 from martspark.llm.simhash import drop_near_duplicates
 from martspark.llm.token_files import token_digests
@@ -28,6 +30,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return drop_near_duplicates(docs)
 
 
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go (op 8)."""
+    ship_package(spark)
+    return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents sampled so that token shares meet the target margins (op 7)."""
+    ship_package(spark)
+    return sample_mixture(docs)
+
+
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files of what is left, digested per document (op 2)."""
     ship_package(spark)
@@ -37,6 +51,8 @@ def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("quality_rules", quality_rules),
     ("near_duplicates", near_duplicates),
+    ("benchmark_decontamination", decontamination),
+    ("mixing_weights", mixture),
     ("token_files", token_files),
 ]
 

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from martspark.llm.bpe import default_tokenizer
+from martspark.llm.decontaminate import contaminated
+from martspark.llm.mixing import mix
 from martspark.llm.quality_rules import quality_verdicts
 from martspark.llm.simhash import near_duplicates
 from martspark.llm.token_files import token_digests
@@ -97,3 +99,15 @@ FROM v"""
 def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Base counts, divergences and verdict of every document."""
     return quality_verdicts(table(spark, folder, "documents"))
+
+
+@query("op7_mixing_weights")
+def op7_mixing_weights(spark: SparkSession, folder: str) -> DataFrame:
+    """Calibrated factor, probability and decision of every document."""
+    return mix(table(spark, folder, "documents"))
+
+
+@query("op8_benchmark_windows")
+def op8_benchmark_windows(spark: SparkSession, folder: str) -> DataFrame:
+    """Best window per document and benchmark item that occurs in it."""
+    return contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
