@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from martspark.llm.bpe import default_tokenizer
 from martspark.llm.decontaminate import contaminated
+from martspark.llm.line_dedup import without_repeats
 from martspark.llm.mixing import mix
 from martspark.llm.quality_rules import quality_verdicts
 from martspark.llm.simhash import near_duplicates
@@ -111,3 +112,25 @@ def op7_mixing_weights(spark: SparkSession, folder: str) -> DataFrame:
 def op8_benchmark_windows(spark: SparkSession, folder: str) -> DataFrame:
     """Best window per document and benchmark item that occurs in it."""
     return contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+OP1_SQL = r"""
+WITH l AS (
+  SELECT doc_id, nr - 1 AS pos, line, trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS bare
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS nr
+        FROM documents)),
+w AS (SELECT doc_id, pos, lead(pos, 1) OVER o AS pos2, lead(pos, 2) OVER o AS pos3,
+             bare || chr(10) || lead(bare, 1) OVER o || chr(10) || lead(bare, 2) OVER o AS win
+      FROM l WHERE bare <> '' AND doc_id IS NOT NULL WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY win ORDER BY doc_id, pos) AS place FROM w WHERE win IS NOT NULL),
+gone AS (SELECT DISTINCT doc_id, unnest([pos, pos2, pos3]) AS pos FROM ranked WHERE place > 1),
+marked AS (SELECT l.*, gone.pos IS NOT NULL AS removed FROM l LEFT JOIN gone USING (doc_id, pos))
+SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT removed), '') AS text,
+       count(*) AS n_lines, CAST(count(*) FILTER (removed) AS BIGINT) AS n_removed
+FROM marked GROUP BY doc_id"""
+
+
+@query("op1_line_dedup", OP1_SQL)
+def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents without lines of windows that occur earlier in the corpus."""
+    return without_repeats(table(spark, folder, "documents"))
