@@ -13,6 +13,7 @@ from martspark.llm.mixing import mix
 from martspark.llm.quality_rules import quality_verdicts
 from martspark.llm.simhash import near_duplicates
 from martspark.llm.token_files import token_digests
+from martspark.llm.warc import archived
 from martspark.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -134,3 +135,10 @@ FROM marked GROUP BY doc_id"""
 def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """All documents without lines of windows that occur earlier in the corpus."""
     return without_repeats(table(spark, folder, "documents"))
+
+
+@query("op4_warc_salvage")
+def op4_warc_salvage(spark: SparkSession, folder: str) -> DataFrame:
+    """All pages written to archives and read back by the salvage reader."""
+    return archived(table(spark, folder, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
