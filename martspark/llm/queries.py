@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from martspark.llm.bpe import default_tokenizer
 from martspark.llm.decontaminate import contaminated
+from martspark.llm.edit_counts import edited_counts, redactions, token_trees
 from martspark.llm.line_dedup import without_repeats
 from martspark.llm.mixing import mix
 from martspark.llm.quality_rules import quality_verdicts
 from martspark.llm.simhash import near_duplicates
 from martspark.llm.token_files import token_digests
 from martspark.llm.warc import archived
-from martspark.session import ship_package
+from martspark.session import ship_package, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -142,3 +143,10 @@ def op4_warc_salvage(spark: SparkSession, folder: str) -> DataFrame:
     """All pages written to archives and read back by the salvage reader."""
     return archived(table(spark, folder, "pages")).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op6_edit_aware_counts")
+def op6_edit_aware_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Token counts of all documents before and after personal data and keys are redacted."""
+    trees = written(token_trees(table(spark, folder, "documents"), default_tokenizer()), "token-trees")
+    return edited_counts(trees, default_tokenizer(), rule=redactions)
