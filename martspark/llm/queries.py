@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from martspark.llm.bpe import default_tokenizer
 from martspark.llm.decontaminate import contaminated
 from martspark.llm.edit_counts import edited_counts, redactions, token_trees
+from martspark.llm.html_text import extracted
 from martspark.llm.line_dedup import without_repeats
 from martspark.llm.mixing import mix
 from martspark.llm.quality_rules import quality_verdicts
@@ -150,3 +151,9 @@ def op6_edit_aware_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Token counts of all documents before and after personal data and keys are redacted."""
     trees = written(token_trees(table(spark, folder, "documents"), default_tokenizer()), "token-trees")
     return edited_counts(trees, default_tokenizer(), rule=redactions)
+
+
+@query("op10_main_text")
+def op10_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of all pages."""
+    return extracted(table(spark, folder, "pages"))
