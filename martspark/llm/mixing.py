@@ -6,9 +6,11 @@ kept with a probability proportional to its cell's factor, scaled so that the
 largest probability is one: the expected token shares of the sample are the
 targets, and the decision is a hash of the document, the same on every run.
 
-Topics come from ``k``-means over hashed word counts. The centres are fitted on at
-most ``TOPIC_SAMPLE`` documents (a documented bound for the fit alone); every
-document is assigned by its whole text. Tokens are the words of the text.
+Topics come from ``k``-means over hashed word counts, less the mean of the
+document's language, so that a topic is not just a language again. Means and
+centres are fitted on at most ``TOPIC_SAMPLE`` documents (a documented bound for
+the fit alone); every document is assigned by its whole text. Tokens are the words
+of the text.
 
 Cells are aggregated before any shuffle, so a source with most of the rows is one
 row per topic and language. Raking runs as groupings and joins over the cell table;
@@ -16,7 +18,8 @@ each round's table is written, so a lost executor costs one round.
 
 Defined results: a missing source or language counts as the empty name; a document
 without words has no tokens, the first topic, and is kept by its cell's factor; a
-cell without tokens has factor one; targets without data are left out and the
+cell without tokens has factor one; a sample of fewer than ``2 k`` documents with
+words gives one topic; targets without data are left out and the
 others scaled up; equal rows get equal decisions; an empty table gives an empty
 result. Other columns are carried through or left out, whatever their names.
 """
@@ -38,8 +41,8 @@ TOPICS = 8
 TOPIC_SAMPLE = 2000
 TOPIC_SLOTS = 256
 SMOOTHING = 0.9  # default targets: a value's share of tokens to this power
-TOLERANCE = 1e-4
-MAX_ROUNDS = 100
+TOLERANCE = 1e-3
+MAX_ROUNDS = 40
 BROADCAST_CELLS = 100_000  # a cell takes under 200 bytes, so this many are under 20 MB
 SEED = 7
 
@@ -59,42 +62,60 @@ def word_vector(text: str | None) -> tuple[int, np.ndarray]:
     return len(words), counts / np.linalg.norm(counts)
 
 
-def fit_topics(docs: DataFrame, k: int = TOPICS, sample: int = TOPIC_SAMPLE) -> np.ndarray:
-    """Centres of the topics, fitted on at most ``sample`` documents picked by a hash."""
+class Topics:
+    """Language means and topic centres; at most ``TOPIC_SAMPLE`` languages can have a mean."""
+
+    def __init__(self, means: dict[str, np.ndarray], centres: np.ndarray):
+        self.means, self.centres = means, centres
+        self.offsets = (centres ** 2).sum(1) / 2
+
+    def of(self, vector: np.ndarray, lang: str) -> int:
+        mean = self.means.get(lang)
+        return int(np.argmax(self.centres @ (vector if mean is None else vector - mean) - self.offsets))
+
+
+def fit_topics(docs: DataFrame, k: int = TOPICS, sample: int = TOPIC_SAMPLE) -> Topics:
+    """Topics of ``docs(text, lang)``, fitted on at most ``sample`` documents picked by a hash."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
+    none = Topics({}, np.zeros((1, TOPIC_SLOTS)))
     n = docs.count()
     if not n:
-        return np.zeros((1, TOPIC_SLOTS))
-    picked = docs.select(F.col("text").cast("string").alias("text")).filter(
+        return none
+    picked = docs.select("text", "lang").filter(
         F.pmod(F.xxhash64("text", F.lit(SEED)), F.lit(max(1, n // (2 * sample)))) == 0).limit(sample)
 
     def vectors(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in batches(frames):
-            yield pa.record_batch([pa.array([word_vector(t.as_py())[1].tolist() for t in frame.column(0)],
-                                            pa.list_(pa.float64()))], names=["v"])
-
-    points = written(picked.mapInArrow(vectors, "v array<double>"), "topic-sample")
-    if points.isEmpty():
-        return np.zeros((1, TOPIC_SLOTS))
-    model = KMeans(k=k, seed=SEED, maxIter=10).fit(points.select(array_to_vector("v").alias("features")))
-    return np.array(model.clusterCenters())
-
-
-def with_topics(rows: DataFrame, centres: np.ndarray) -> DataFrame:
-    """Add ``topic`` and ``n_tokens`` to rows with a ``text``, which is left out."""
+            found = [word_vector(t.as_py())[1].tolist() for t in frame.column(0)]
+            yield pa.record_batch([pa.array(found, pa.list_(pa.float64())), frame.column(1)], names=["v", "lang"])
+
+    rows = written(picked.mapInArrow(vectors, "v array<double>, lang string"), "topic-sample").collect()
+    rows = [r for r in rows if any(r.v)]
+    if len(rows) < 2 * k:  # too few to tell topics apart
+        return none
+    points, langs = np.array([r.v for r in rows]), [r.lang for r in rows]
+    means = {lang: points[[x == lang for x in langs]].mean(0) for lang in set(langs)}
+    centred = [(v - means[lang]).tolist() for v, lang in zip(points, langs)]
+    frame = docs.sparkSession.createDataFrame(pa.table({"v": pa.array(centred, pa.list_(pa.float64()))}))
+    model = KMeans(k=k, seed=SEED, maxIter=10).fit(frame.select(array_to_vector("v").alias("features")))
+    return Topics(means, np.array(model.clusterCenters()))
+
+
+def with_topics(rows: DataFrame, topics: Topics) -> DataFrame:
+    """Add ``topic`` and ``n_tokens`` to rows with ``lang`` and ``text``; the text is left out."""
     kept = [f for f in rows.schema.fields if f.name != "text"]
     schema = T.StructType([*kept, T.StructField("topic", T.LongType()), T.StructField("n_tokens", T.LongType())])
-    offsets = (centres ** 2).sum(1) / 2
     names = [f.name for f in kept]
 
     def assign(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in batches(frames):
             found = [word_vector(t.as_py()) for t in frame.column("text")]
-            topics = [int(np.argmax(centres @ v - offsets)) if n else 0 for n, v in found]
+            langs = frame.column("lang").to_pylist()
+            places = [topics.of(v, lang) if n else 0 for (n, v), lang in zip(found, langs)]
             columns = [frame.column(name) for name in names]
-            yield pa.record_batch([*columns, pa.array(topics, pa.int64()), pa.array([n for n, _ in found], pa.int64())],
+            yield pa.record_batch([*columns, pa.array(places, pa.int64()), pa.array([n for n, _ in found], pa.int64())],
                                   names=[*names, "topic", "n_tokens"])
 
     return rows.mapInArrow(assign, schema)
@@ -110,37 +131,39 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None) -> DataF
     """``source, lang, topic, tokens, weight``: cell weights whose margins meet the targets.
 
     ``targets[margin]`` holds ``margin, share``; shares need not sum to one. Weights
-    sum to the number of tokens.
+    sum to the number of tokens. A round adjusts each margin in turn; raking ends
+    when no adjustment exceeds ``TOLERANCE``, or when a whole round leaves every
+    weight as it was (targets that the cells cannot meet together).
     """
     live = written(cells.filter("tokens > 0").withColumn("weight", F.col("tokens").cast("double")), "cells")
     total = live.agg(F.sum("tokens")).first()[0]
     if not total:
         return live
-    wanted = {}
+    placed = live
     for margin in MARGINS:
         given = (targets or {}).get(margin)
         shares = smoothed_targets(live, margin) if given is None else given.filter("share > 0").join(
             live.select(margin).distinct(), margin)
         whole = shares.agg(F.sum("share").alias("whole"))
-        wanted[margin] = written(shares.join(F.broadcast(whole)).select(
-            margin, (F.col("share") / F.col("whole") * total).alias("target")), f"targets-{margin}")
+        wanted = shares.join(F.broadcast(whole)).select(
+            margin, (F.col("share") / F.col("whole") * total).alias(f"target_{margin}"))
+        placed = placed.join(wanted, margin, "left")
+    live = written(placed, "raked")
     for _ in range(MAX_ROUNDS):
-        error = None
-        step = live
+        step = live.withColumns({"gap": F.lit(0.0), "before": F.col("weight")})
         for margin in MARGINS:
             sums = step.groupBy(margin).agg(F.sum("weight").alias("now"))
-            factors = sums.join(wanted[margin], margin, "left").select(
-                margin, (F.coalesce("target", F.lit(0.0)) / F.nullif("now", F.lit(0.0))).alias("factor"))
-            step = step.join(factors, margin).withColumn(
-                "weight", F.col("weight") * F.coalesce("factor", F.lit(0.0))).drop("factor")
-        live = written(step, "raked")
-        for margin in MARGINS[:-1]:  # the last margin holds exactly after each round
-            off = live.groupBy(margin).agg(F.sum("weight").alias("now")).join(wanted[margin], margin, "left")
-            gap = off.agg(F.max(F.abs(F.col("now") / F.col("target") - 1))).first()[0] or 0.0
-            error = gap if error is None else max(error, gap)
-        if error < TOLERANCE:
+            ratio = F.coalesce(F.col(f"target_{margin}") / F.nullif("now", F.lit(0.0)), F.lit(0.0))
+            step = step.join(sums, margin).withColumns({
+                "weight": F.col("weight") * ratio,
+                "gap": F.greatest("gap", F.when(F.col("weight") > 0, F.abs(ratio - 1)).otherwise(F.lit(0.0)))}).drop("now")
+        done = written(step, "raked")
+        live = done.drop("gap", "before")
+        moved = F.abs(F.col("weight") - F.col("before")) / F.greatest("weight", "before", F.lit(1e-9))
+        gap, change = done.agg(F.max("gap"), F.max(moved)).first()
+        if gap < TOLERANCE or change < TOLERANCE / 10:
             break
-    return live
+    return live.drop(*(f"target_{margin}" for margin in MARGINS))
 
 
 def calibrated(cells: DataFrame, targets: dict[str, DataFrame] | None = None) -> DataFrame:
@@ -171,7 +194,8 @@ def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, k: int = T
     names = _names(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                        F.xxhash64("doc_id", "text", F.lit(SEED)).alias("pick"), *(c.alias(n) for n, c in names.items()))
-    rows = written(with_topics(rows, fit_topics(docs, k)), "topics")
+    topics = fit_topics(docs.select(names["text"].alias("text"), names["lang"].alias("lang")), k)
+    rows = written(with_topics(rows, topics), "topics")
     cells = rows.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens"))
     return _decided(rows, calibrated(cells, targets)).select(
         "doc_id", *MARGINS, "n_tokens", "factor", "probability", "kept")
@@ -180,8 +204,9 @@ def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, k: int = T
 def sample_mixture(docs: DataFrame, targets: dict[str, DataFrame] | None = None, k: int = TOPICS) -> DataFrame:
     """The kept rows with their own columns; texts are read twice and never shuffled for a bounded cell table."""
     names = _names(docs)
-    centres = fit_topics(docs, k)
-    narrow = with_topics(docs.select(*(c.alias(n) for n, c in names.items())), centres)
+    texts = docs.select(*(c.alias(n) for n, c in names.items()))
+    topics = fit_topics(texts, k)
+    narrow = with_topics(texts, topics)
     cells = written(narrow.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens")), "cells")
-    rows = with_topics(packed(docs, pick=F.xxhash64("doc_id", "text", F.lit(SEED)), **names), centres)
+    rows = with_topics(packed(docs, pick=F.xxhash64("doc_id", "text", F.lit(SEED)), **names), topics)
     return unpacked(_decided(rows, calibrated(cells, targets)).filter("kept").select(ROW), docs.columns)

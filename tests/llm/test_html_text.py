@@ -87,7 +87,8 @@ def test_edge_rows(spark, model):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text int")
     got = extracted(pages, model).collect()
     assert len(got) == len(rows) and all(r.n_chars == len(r.text) for r in got)
-    assert main_text(EDGE[3], Trees([])) == "unclosed bold\n\nnext"
+    long = "a text long enough for the fixed rule"
+    assert main_text(f"<p>{long} <b>bold<p>{long}", Trees([])) == f"{long} bold\n\n{long}"
     assert main_text(None, model) == main_text(EDGE[4], model) == ""
     empty = pages.limit(0)
     assert extracted(empty).count() == 0
