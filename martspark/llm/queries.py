@@ -13,6 +13,7 @@ from martspark.llm.html_text import extracted
 from martspark.llm.line_dedup import without_repeats
 from martspark.llm.mixing import mix
 from martspark.llm.quality_rules import quality_verdicts
+from martspark.llm.secret_scan import secret_findings
 from martspark.llm.simhash import near_duplicates
 from martspark.llm.token_files import token_digests
 from martspark.llm.warc import archived
@@ -157,3 +158,9 @@ def op6_edit_aware_counts(spark: SparkSession, folder: str) -> DataFrame:
 def op10_main_text(spark: SparkSession, folder: str) -> DataFrame:
     """Main text of all pages."""
     return extracted(table(spark, folder, "pages"))
+
+
+@query("op9_secret_scan")
+def op9_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Findings of all documents with the forest's verdict."""
+    return secret_findings(table(spark, folder, "documents"))
