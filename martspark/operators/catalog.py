@@ -16,7 +16,7 @@ from martspark.functions.routing import is_rejected, screened_question
 from martspark.operators.nearest import nearest
 from martspark.operators.ranking import global_row_number
 
-BATCH_SIZE, MAX_PRODUCTS = 10, 500
+BATCH_SIZE = 10
 PRODUCT_COLUMNS = ["product_id", "product_name", "department", "aisle"]
 REPLY_SCHEMA = "array<struct<id: int, description: string>>"
 
@@ -26,7 +26,7 @@ class Replies(NamedTuple):
     failures: DataFrame
 
 
-def enrichment_batches(pairs: DataFrame, limit: int | None = MAX_PRODUCTS, batch_size: int = BATCH_SIZE) -> DataFrame:
+def enrichment_batches(pairs: DataFrame, limit: int | None = None, batch_size: int = BATCH_SIZE) -> DataFrame:
     """Distinct products in id order, with batch number and 1-based place in the batch.
 
     With a limit only that many rows are numbered; without one the numbering is
@@ -136,7 +136,7 @@ class TextEncoder:
         self.model = model
 
     @staticmethod
-    def fit(corpus: DataFrame, text: str, dimensions: int = 256) -> "TextEncoder":
+    def fit(corpus: DataFrame, text: str, dimensions: int = 1 << 12) -> "TextEncoder":
         stages = [
             RegexTokenizer(inputCol="_text", outputCol="_words", pattern=r"[^\p{L}\p{N}]+", minTokenLength=2),
             HashingTF(inputCol="_words", outputCol="_counts", numFeatures=dimensions),
@@ -183,10 +183,17 @@ def product_line() -> Column:
     )
 
 
-def screened(questions: DataFrame, text: str) -> DataFrame:
-    """Questions trimmed and cut, with the flag of those that match a rejected pattern."""
-    return questions.withColumn("question", screened_question(F.col(text))).withColumn(
-        "rejected", is_rejected(F.col("question"))
+def screened(questions: DataFrame, text: str, max_chars: int | None = None) -> DataFrame:
+    """Questions trimmed, with the flag of those that match a rejected pattern anywhere in the whole text.
+
+    With ``max_chars`` the question is cut after the screening and ``was_cut`` says where.
+    """
+    whole = screened_question(F.col(text))
+    flagged = questions.withColumn("question", whole).withColumn("rejected", is_rejected(F.col("question")))
+    if max_chars is None:
+        return flagged
+    return flagged.withColumn("was_cut", F.length("question") > max_chars).withColumn(
+        "question", screened_question(F.col("question"), max_chars)
     )
 
 

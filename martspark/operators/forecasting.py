@@ -262,13 +262,13 @@ def forecast_inputs(model: DemandModel, features: DataFrame) -> DataFrame:
     return model.coded(recent.join(totals, SERIES))
 
 
-def forecast_all(model: DemandModel, features: DataFrame, horizon: int = HORIZON, history_from: DataFrame | None = None) -> DataFrame:
+def forecast_all(model: DemandModel, features: DataFrame, history: DataFrame, horizon: int = HORIZON) -> DataFrame:
     """Recursive daily forecast of every series: each step feeds the next one's lags.
 
     Calendar, lag and rolling inputs follow the training definitions at every
     step; the price stays at its last value and future days carry no event or
-    benefit flag. ``history_from`` gives rows seen per series (columns of SERIES
-    plus ``rows``), which weigh the expanding mean; without it the recent rows do.
+    benefit flag. ``history`` gives all rows seen per series (columns of SERIES
+    plus ``rows``), which weigh the expanding mean.
     """
     within(horizon, 1, MAX_HORIZON, "horizon")
     fitted = model.stages.stages[-1]
@@ -303,11 +303,8 @@ def forecast_all(model: DemandModel, features: DataFrame, horizon: int = HORIZON
         frame["error"] = None
         return frame[["store_id", "item_id", "horizon", "step", "forecast_date", "forecast", "total_forecast_units", "error"]]
 
-    ready = forecast_inputs(model, features)
-    if history_from is None:
-        ready = ready.withColumn("_seen", F.count(F.lit(1)).over(Window.partitionBy(*SERIES)))
-    else:
-        ready = ready.join(history_from.select(*SERIES, F.col("rows").alias("_seen")), SERIES)
+    seen = history.select(*SERIES, F.col("rows").alias("_seen"))
+    ready = forecast_inputs(model, features).join(seen, SERIES)
     needed = [*SERIES, "sale_date", "unit_sales", "sell_price", "_last", "_seen", *[c for c in inputs if c.endswith("_code")]]
     return ready.select(*needed).groupBy(*SERIES).applyInPandas(roll, FORECAST_SCHEMA)
 
@@ -342,7 +339,7 @@ def next_day_inputs(units: list[float], prices: list[float], expanding_mean: flo
 def forecast_for(forecasts: DataFrame, requested: DataFrame) -> DataFrame:
     """Forecast rows of the requested series; a series without data yields an error row."""
     found = requested.join(forecasts.drop("error"), SERIES, "left")
-    message = F.concat(F.lit("No data found for store="), F.col("store_id"), F.lit(", item="), F.col("item_id"))
+    message = F.concat_ws(" ", F.lit("no history of item"), "item_id", F.lit("in store"), "store_id")
     return found.withColumn("error", F.when(F.col("step").isNull(), message))
 
 

@@ -28,6 +28,8 @@ def trailing_frames(
     also receives the last ``preceding`` rows of the block before it. No task
     holds more than one slice or one block of a group.
     """
+    if block_rows < preceding:
+        raise ValueError(f"block_rows ({block_rows}) must not be below preceding ({preceding}): a frame spans two blocks at most")
     sliced = df.withColumn("_slice", slice_by)
     counts = sliced.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_rows"))
     lower = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)

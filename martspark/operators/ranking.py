@@ -4,9 +4,9 @@ A window without a partition key sorts the whole table in a single task. Here
 Spark range-partitions the rows by the sort key, each partition is ordered on
 its own, and the number of rows in lower partitions is added as an offset.
 
-The partitioned rows are written to the shared folder together with their
-partition number: the offsets and the ordering must see the same boundaries,
-also when a lost task is run again.
+The sorted rows are written to the shared folder together with their range and
+their place in it: the offsets must see the same boundaries, also when a lost task
+is run again, and row numbers need no second shuffle.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from martspark.session import written
 
-_PART, _COUNT, _BEFORE = "_part", "_rows", "_rows_before"
+_PART, _PLACE, _COUNT, _BEFORE = "_part", "_place", "_rows", "_rows_before"
 
 
 def _named(order: list[Column]) -> dict[str, Column]:
@@ -30,9 +30,12 @@ def descending(value: Column) -> list[Column]:
 
 def _in_ranges(df: DataFrame, keys: list[str], label: str) -> DataFrame:
     """Rows with the number of their key range; equal keys always share one."""
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(parts, *[F.col(k).asc_nulls_first() for k in keys])
-    return written(ranged.withColumn(_PART, F.spark_partition_id()), label)
+    order = [F.col(k).asc_nulls_first() for k in keys]
+    # No number of ranges is given, so Spark chooses it from the size of the rows at run time.
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    # The high bits of the id are the range, the low bits the place in it.
+    return written(placed.withColumns({
+        _PART: F.shiftright("_id", 33), _PLACE: F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))}).drop("_id"), label)
 
 
 def _with_rows_before(ranged: DataFrame, rows: Column) -> DataFrame:
@@ -55,8 +58,8 @@ def global_row_number(df: DataFrame, order: list[Column], name: str) -> DataFram
     """
     keys = _named(order)
     placed = _with_rows_before(_in_ranges(df.withColumns(keys), list(keys), "row-numbers"), F.lit(1))
-    position = F.col(_BEFORE) + F.row_number().over(_inside(list(keys)))
-    return placed.withColumn(name, position.cast("bigint")).drop(*keys, _PART, _BEFORE)
+    position = F.col(_BEFORE) + F.col(_PLACE) + 1
+    return placed.withColumn(name, position.cast("bigint")).drop(*keys, _PART, _PLACE, _BEFORE)
 
 
 def _first_positions(counts: DataFrame, keys: list[str], label: str) -> DataFrame:

@@ -21,16 +21,25 @@ RATE_LIMIT, RATE_WINDOW_SECONDS = 10, 60
 
 
 def decide(times_us: np.ndarray, accepted: deque, limit: int, window_us: int) -> list[bool]:
-    """Decisions for ascending times; ``accepted`` holds the live accepted times and is updated."""
-    decisions = []
-    for now in times_us:
-        while accepted and now - accepted[0] >= window_us:
+    """Decisions for ascending times; ``accepted`` holds the live accepted times and is updated.
+
+    While the limit is reached, the next request that can pass is the first at
+    least a window after the oldest accepted one; it is found by a search, so the
+    work grows with the accepted requests and not with the rejected ones.
+    """
+    decisions, at = np.zeros(len(times_us), dtype=bool), 0
+    while at < len(times_us):
+        if limit <= 0:
+            break
+        if len(accepted) >= limit and times_us[at] - accepted[0] < window_us:
+            at = int(np.searchsorted(times_us, accepted[0] + window_us))
+            continue
+        while accepted and times_us[at] - accepted[0] >= window_us:
             accepted.popleft()
-        allowed = len(accepted) < limit
-        if allowed:
-            accepted.append(now)
-        decisions.append(allowed)
-    return decisions
+        accepted.append(int(times_us[at]))
+        decisions[at] = True
+        at += 1
+    return decisions.tolist()
 
 
 def with_chains(log: DataFrame, window_seconds: int) -> DataFrame:

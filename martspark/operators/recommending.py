@@ -136,7 +136,7 @@ def recommend(factors: Factors, users: DataFrame, products: DataFrame, n: int =
     return users.select("user_id").distinct().join(ranked, "user_id", "left").select(
         "user_id", experiment_variant(F.col("user_id")).alias("variant"), "position", "product_id", "product_name",
         "department", "similarity",
-        F.when(F.col("product_id").isNull(), "User not found").alias("error"),
+        F.when(F.col("product_id").isNull(), "no factors for this user").alias("error"),
     )
 
 
@@ -157,7 +157,7 @@ def projection(items: DataFrame, products: DataFrame | None = None) -> DataFrame
     vectors = items.select("item_id", array_to_vector(F.col("vector")).alias("v"))
     axes = vector_to_array(F.col("xy"))
     flat = PCA(k=2, inputCol="v", outputCol="xy").fit(vectors).transform(vectors).select(
-        F.col("item_id").alias("product_id"), axes[0].alias("umap_x"), axes[1].alias("umap_y")
+        F.col("item_id").alias("product_id"), axes[0].alias("axis_1"), axes[1].alias("axis_2")
     )
     if products is None:
         return flat

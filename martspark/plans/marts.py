@@ -55,17 +55,30 @@ def store_day_baseline(daily_sales: DataFrame) -> DataFrame:
 
 
 def product_totals(transactions: DataFrame) -> DataFrame:
-    return transactions.groupBy("product_id").agg(
+    """Totals per product.
+
+    An invoice has one customer and one date. Lines are first reduced to product
+    and customer, with one distinct count there; the selling days come from the
+    distinct days, so no line is expanded once per distinct count.
+    """
+    by_customer = transactions.groupBy("product_id", "customer_id").agg(
+        F.max("product_name").alias("product_name"), F.countDistinct("invoice_id").alias("invoices"),
+        F.sum("quantity").alias("units"), F.sum("revenue").alias("revenue"), F.sum("unit_price").alias("prices"),
+        F.count("unit_price").alias("priced"), F.min("invoice_date").alias("lo"), F.max("invoice_date").alias("hi"),
+    )
+    totals = by_customer.groupBy("product_id").agg(
         F.max("product_name").alias("product_name"),
-        F.countDistinct("customer_id").alias("unique_customers"),
-        F.countDistinct("invoice_id").alias("total_invoices"),
-        F.sum("quantity").alias("total_units_sold"),
+        F.count("customer_id").alias("unique_customers"),
+        F.sum("invoices").alias("total_invoices"),
+        F.sum("units").alias("total_units_sold"),
         F.sum("revenue").alias("total_revenue"),
-        F.avg("unit_price").alias("avg_unit_price"),
-        F.countDistinct("invoice_date").alias("active_selling_days"),
-        F.min("invoice_date").alias("first_sale_date"),
-        F.max("invoice_date").alias("last_sale_date"),
+        ratio(F.sum("prices"), F.sum("priced")).alias("avg_unit_price"),
+        F.min("lo").alias("first_sale_date"),
+        F.max("hi").alias("last_sale_date"),
     )
+    days = transactions.groupBy("product_id").agg(F.countDistinct("invoice_date").alias("active_selling_days"))
+    same = totals["product_id"].eqNullSafe(days["product_id"])
+    return totals.join(days, same).drop(days["product_id"])
 
 
 def product_performance(transactions: DataFrame) -> DataFrame:
@@ -102,13 +115,20 @@ def store_dimension(sales: DataFrame, daily_sales: DataFrame) -> DataFrame:
 
 
 def daily_kpis(transactions: DataFrame) -> DataFrame:
-    return transactions.groupBy(F.col("invoice_date").alias("kpi_date")).agg(
+    """KPIs per day; lines are reduced to invoices before invoices and customers are counted."""
+    day = F.col("invoice_date").alias("kpi_date")
+    invoices = transactions.groupBy(day, "invoice_id", "customer_id").agg(
+        F.sum("quantity").alias("units"), F.sum("revenue").alias("revenue"))
+    days = invoices.groupBy("kpi_date").agg(
         F.countDistinct("invoice_id").alias("total_orders"),
         F.countDistinct("customer_id").alias("unique_customers"),
-        F.sum("quantity").alias("total_units"),
+        F.sum("units").alias("total_units"),
         F.sum("revenue").alias("total_revenue"),
-        F.countDistinct("product_id").alias("unique_products_sold"),
-    ).withColumn("avg_basket_size", ratio(F.col("total_revenue"), F.col("total_orders")))
+    )
+    products = transactions.groupBy(day).agg(F.countDistinct("product_id").alias("unique_products_sold"))
+    same = days["kpi_date"].eqNullSafe(products["kpi_date"])
+    return days.join(products, same).drop(products["kpi_date"]).withColumn(
+        "avg_basket_size", ratio(F.col("total_revenue"), F.col("total_orders")))
 
 
 def executive_kpis(transactions: DataFrame) -> DataFrame:

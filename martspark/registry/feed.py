@@ -18,13 +18,8 @@ def lookup(t):
     return feed.product_lookup(staged_transactions(t, "description"))
 
 
-def known_lookup(t):
-    """The lookup without the best-selling tenth of ranks, so that some events miss it."""
-    return lookup(t).filter("revenue_rank > 10")
-
-
 def enriched(t):
-    return feed.enrich(feed.feed_events(all_transactions(t)), known_lookup(t))
+    return feed.enrich(feed.feed_events(all_transactions(t)), lookup(t))
 
 
 LOOKUP = TX + """, lookup AS (
@@ -39,7 +34,7 @@ ENRICHED = LOOKUP + """, enriched AS (
          CASE WHEN l.revenue_rank IS NULL THEN 'unknown' ELSE l.product_name END AS category,
          coalesce(l.revenue_rank, -1) AS revenue_rank, coalesce(l.revenue_rank <= 100, false) AS is_top_seller,
          l.total_units_sold AS units
-  FROM tx LEFT JOIN (SELECT * FROM lookup WHERE revenue_rank > 10) l USING (product_id))"""
+  FROM tx LEFT JOIN lookup l USING (product_id))"""
 
 MESSAGE_SQL = f"""txn_id, customer_id, product_id, description, CAST(quantity AS BIGINT) AS quantity,
        {r('unit_price', 4)} AS unit_price, revenue, country, {iso_time('ts')} AS timestamp, category, revenue_rank,

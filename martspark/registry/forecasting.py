@@ -147,7 +147,7 @@ def _(t):
 
 
 @lru_cache(maxsize=4)
-def _trained(spark, folder):
+def _trained(spark, folder, state):
     t = tables.Tables(spark, folder)
     features = written(item_features(t), "features")
     log, models = fc.cross_validate(features, FOLDS)
@@ -155,8 +155,8 @@ def _trained(spark, folder):
 
 
 def trained(t):
-    """Features, run log and fold models, fitted once per session and folder."""
-    return _trained(t.spark, t.folder)
+    """Features, run log and fold models, fitted once per session and state of the folder's files."""
+    return _trained(t.spark, t.folder, t.state())
 
 
 @query("m07_cross_validation")
@@ -180,7 +180,7 @@ def seen_rows(t):
 
 def forecasts(t, horizon=28):
     features, _, models = trained(t)
-    return fc.forecast_all(models["fold_3"], features, horizon, seen_rows(t))
+    return fc.forecast_all(models["fold_3"], features, seen_rows(t), horizon)
 
 
 @query("m08_recursive_forecast")

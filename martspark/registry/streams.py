@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -10,7 +11,7 @@ from martspark.plans import feed, opsmetrics, staging
 from martspark.registry.base import iso_time, query, r, rounded
 from martspark.registry.feed import (
     ENRICHED, FACTOR, INVENTORY_SQL, INVENTORY_WHERE, MESSAGE_SQL, MIN_QUANTITY, REVENUE_LIMIT, REVENUE_SQL, TX,
-    all_transactions, known_lookup,
+    all_transactions, lookup,
 )
 from martspark.registry.analytics import SLOT
 from martspark.session import working_path, written
@@ -31,44 +32,50 @@ def run_feed(t):
     events = feed.feed_events(staging.transactions(tables.transactions(live)))
     path = working_path(t.spark, "feed")
     started = routing.start_feed(
-        events, known_lookup(t), path, working_path(t.spark, "feed-checkpoint"), MIN_QUANTITY, FACTOR, REVENUE_LIMIT
+        events, lookup(t), path, working_path(t.spark, "feed-checkpoint"), MIN_QUANTITY, FACTOR, REVENUE_LIMIT
     )
     return path, finished(started)
 
 
-def outputs(t, name, batch_frame):
-    path, _ = run_feed(t)
-    return routing.read_output(t.spark, path, name, batch_frame.schema)
+# Fields of the messages that the feed writes.
+MESSAGE_FIELDS = {
+    "enriched": """txn_id string, customer_id long, product_id long, description string, quantity int, unit_price double,
+        revenue double, country string, timestamp timestamp, category string, revenue_rank long, is_top_seller boolean""",
+    "alerts.inventory": """alert_type string, store_id string, product_id long, quantity int, threshold double,
+        timestamp timestamp""",
+    "alerts.revenue": """alert_type string, txn_id string, customer_id long, revenue double, product_id long,
+        timestamp timestamp""",
+}
 
 
-def batch_rows(t):
-    return feed.enrich(feed.feed_events(all_transactions(t)), known_lookup(t))
+def outputs(t, name):
+    path, _ = run_feed(t)
+    return routing.read_output(t.spark, path, name, MESSAGE_FIELDS[name])
 
 
 @query("r04_streamed_enriched", f"WITH {ENRICHED} SELECT {MESSAGE_SQL} FROM enriched")
 def _(t):
     """The enriched output of the running feed."""
-    return rounded(outputs(t, "enriched", feed.enriched_messages(batch_rows(t))), unit_price=4)
+    return rounded(outputs(t, "enriched"), unit_price=4)
 
 
 @query("r04_streamed_inventory_alerts", f"WITH {ENRICHED} SELECT {INVENTORY_SQL} FROM enriched WHERE {INVENTORY_WHERE}")
 def _(t):
-    return outputs(t, "alerts.inventory", feed.inventory_alerts(batch_rows(t)))
+    return outputs(t, "alerts.inventory")
 
 
 @query("r04_streamed_revenue_alerts", f"WITH {ENRICHED} SELECT {REVENUE_SQL} FROM enriched WHERE revenue > {REVENUE_LIMIT}")
 def _(t):
-    return outputs(t, "alerts.revenue", feed.revenue_alerts(batch_rows(t)))
+    return outputs(t, "alerts.revenue")
 
 
 @query("r06_feed_progress", f"""WITH {ENRICHED}
 SELECT count(*) AS processed, count(*) FILTER ({INVENTORY_WHERE}) + count(*) FILTER (revenue > {REVENUE_LIMIT}) AS alerts_sent
 FROM enriched""")
 def _(t):
-    """Counters observed while the feed runs, summed over its micro-batches."""
-    _, done = run_feed(t)
-    rows = [(int(p["processed"]), int(p["alerts_sent"])) for p in routing.progress_counters(done)]
-    return t.spark.createDataFrame(rows, "processed long, alerts_sent long").agg(
+    """Counters that each micro-batch of the feed leaves behind, summed."""
+    path, _ = run_feed(t)
+    return routing.progress_counters(t.spark, path).agg(
         F.sum("processed").alias("processed"), F.sum("alerts_sent").alias("alerts_sent")
     )
 
@@ -106,27 +113,15 @@ def _(t):
 @query("s09_ordered_replay", f"""WITH {TX}
 SELECT count(*) AS messages, true AS in_order, {r('sum(revenue)', 2)} AS revenue FROM tx""")
 def _(t):
-    """The feed written as time slices and replayed one slice per micro-batch."""
-    path, out = working_path(t.spark, "replay"), working_path(t.spark, "replayed")
-    events = feed.feed_events(all_transactions(t))
-    streams.write_replay(events, F.col("timestamp"), path, slices=6)
-    live = streams.parquet_stream(t.spark, path, events.schema, files_per_trigger=1)
-
-    def keep(batch, batch_id):
-        batch.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out}/n={batch_id}")
-
-    finished(
-        live.writeStream.foreachBatch(keep).option("checkpointLocation", working_path(t.spark, "replay-checkpoint"))
-        .trigger(availableNow=True).start()
-    )
-    replayed = t.spark.read.parquet(out)
-    spans = replayed.groupBy("batch").agg(
+    """The feed as files in time order, written by one range partitioning, with the spans of the files checked."""
+    path = working_path(t.spark, "ordered")
+    feed.feed_events(all_transactions(t)).repartitionByRange("timestamp").sortWithinPartitions("timestamp").withColumn(
+        "part", F.spark_partition_id()).write.parquet(path)
+    spans = t.spark.read.parquet(path).groupBy("part").agg(
         F.min("timestamp").alias("lo"), F.max("timestamp").alias("hi"), F.count(F.lit(1)).alias("n"), F.sum("revenue").alias("m")
     )
-    from pyspark.sql import Window
-
-    # One row per micro-batch.
-    ahead = F.coalesce(F.lag("hi").over(Window.orderBy("batch")) <= F.col("lo"), F.lit(True))
+    # One row per file.
+    ahead = F.coalesce(F.lag("hi").over(Window.orderBy("part")) <= F.col("lo"), F.lit(True))
     return rounded(
         spans.withColumn("_ok", ahead).agg(
             F.sum("n").alias("messages"), F.every("_ok").alias("in_order"), F.sum("m").alias("revenue")
@@ -142,8 +137,7 @@ def _(t):
     log = tables.request_log(t).withColumnRenamed("ts", "timestamp")
     log.union(log).write.parquet(path)
     live = streams.parquet_stream(t.spark, path, log.schema)
-    once = streams.without_repeats(live, ["request_id"])
-    finished(windows.run_to_table(once, out, working_path(t.spark, "once-checkpoint")))
+    finished(streams.start_without_repeats(live, ["request_id"], out, working_path(t.spark, "once-checkpoint")))
     return t.spark.read.parquet(out).agg(
         F.count(F.lit(1)).alias("requests"), F.countDistinct("request_id").alias("ids")
     )
@@ -157,11 +151,11 @@ def streamed_log(t):
 @query("r08_streamed_request_rate", f"""SELECT {iso_time(SLOT)} AS window_start, event_type AS endpoint,
 {r('count(*) / 300.0', 6)} AS rate FROM events GROUP BY ALL""")
 def _(t):
-    """R8 as a running query; complete mode, so that no window waits for the watermark."""
+    """R8 as a running query; update mode, so that no window waits for the watermark and closed ones are forgotten."""
     out = working_path(t.spark, "rates")
     rates = opsmetrics.request_rate(streamed_log(t))
-    finished(windows.run_to_table(rates, out, working_path(t.spark, "rates-checkpoint"), "complete"))
-    return rounded(t.spark.read.parquet(out), rate=6)
+    finished(windows.run_updates(rates, out, working_path(t.spark, "rates-checkpoint")))
+    return rounded(windows.newest(t.spark, out, rates.schema, ["window_start", "endpoint"]), rate=6)
 
 
 @query("r12_rate_limited")

@@ -55,7 +55,7 @@ def _(t):
 
 @query("m18_projection")
 def _(t):
-    return rounded(rec.projection(items(t)), umap_x=4, umap_y=4)
+    return rounded(rec.projection(items(t)), axis_1=4, axis_2=4)
 
 
 # ------------------------------------------------------------- recommendations
@@ -66,13 +66,13 @@ def rated(t):
 
 
 @lru_cache(maxsize=4)
-def _factors(spark, folder):
-    return rec.train_factors(rated(tables.Tables(spark, folder)), iterations=10)
+def _factors(spark, folder, state):
+    return rec.train_factors(rated(tables.Tables(spark, folder)))
 
 
 def factors(t):
-    """Item and user factors, fitted once per session and folder."""
-    return _factors(t.spark, t.folder)
+    """Item and user factors, fitted once per session and state of the folder's files."""
+    return _factors(t.spark, t.folder, t.state())
 
 
 @query("m11_factors")
@@ -84,7 +84,7 @@ def _(t):
 
 @query("m12_hit_rate")
 def _(t):
-    return rounded(rec.hit_rate(rated(t), iterations=5), hit_rate=4)
+    return rounded(rec.hit_rate(rated(t)), hit_rate=4)
 
 
 @query("q07_recommend")
@@ -157,13 +157,13 @@ def _(t):
 
 @query("j10_named_items", f"""WITH {PAIRS}, names AS (
   SELECT product_id, min(product_name) AS product_name, min(department) AS department FROM pairs
-  WHERE department <> 'PROMO' GROUP BY 1)
+  GROUP BY 1)
 SELECT product_id, coalesce(product_name, 'Unknown') AS product_name, coalesce(department, 'Unknown') AS department
 FROM (SELECT DISTINCT product_id FROM pairs) LEFT JOIN names USING (product_id)""")
 def _(t):
-    """Lookup with a fallback; one department is left out so that some miss."""
+    """Lookup with a fallback."""
     rows = pairs(t)
-    return rec.with_product_names(rows.select("product_id").distinct(), rows.filter(F.col("department") != "PROMO"))
+    return rec.with_product_names(rows.select("product_id").distinct(), rows)
 
 
 # --------------------------------------------------------------------- catalog
@@ -174,26 +174,27 @@ BATCHES = PAIRS + """, batches AS (
     FROM (SELECT DISTINCT product_id, product_name, department, aisle FROM pairs)))"""
 
 
-def batches(t, limit=500):
-    return catalog.enrichment_batches(pairs(t), limit)
+def batches(t):
+    return catalog.enrichment_batches(pairs(t))
 
 
-@query("c01_enrichment_batches", f"WITH {BATCHES} SELECT * FROM batches WHERE batch < 50")
+@query("c01_enrichment_batches", f"WITH {BATCHES} SELECT batch, count(*) AS products FROM batches GROUP BY 1")
 def _(t):
-    return batches(t)
+    """Number and size of the batches of all products."""
+    return batches(t).groupBy("batch").agg(F.count(F.lit(1)).alias("products"))
 
 
 @query("c01_all_product_batches", f"WITH {BATCHES} SELECT * FROM batches")
 def _(t):
-    """C1 without the limit: all products numbered in distributed order."""
-    return batches(t, None)
+    """All products numbered in distributed order."""
+    return batches(t)
 
 
 @query("c02_product_lists", f"""WITH {BATCHES}
 SELECT batch, string_agg(place || '. Name: ' || product_name || ' | Department: ' || department || ' | Aisle: ' || aisle,
                          chr(10) ORDER BY place) AS products FROM batches GROUP BY 1""")
 def _(t):
-    return catalog.product_lines(batches(t, None))
+    return catalog.product_lines(batches(t))
 
 
 def replies(t):
@@ -202,7 +203,7 @@ def replies(t):
         F.col("place").alias("id"),
         F.concat(F.lit("A "), F.lower("department"), F.lit(" product for daily use: "), "product_name").alias("description"),
     ))))
-    lists = batches(t, None).groupBy("batch").agg(described.alias("body"))
+    lists = batches(t).groupBy("batch").agg(described.alias("body"))
     kind = F.col("batch") % 4
     return lists.select("batch", (
         F.when(kind == 0, F.concat(F.lit("```json\n"), "body", F.lit("\n```")))
@@ -216,7 +217,7 @@ def replies(t):
 SELECT product_id, product_name, department, aisle, 'A ' || lower(department) || ' product for daily use: ' || product_name AS description
 FROM batches WHERE batch % 4 IN (0, 1) OR (batch % 4 = 3 AND place <> 1)""")
 def _(t):
-    return catalog.parsed_replies(batches(t, None), replies(t)).descriptions
+    return catalog.parsed_replies(batches(t), replies(t)).descriptions
 
 
 @query("c03_failed_batches", f"""WITH {BATCHES}
@@ -224,12 +225,12 @@ SELECT DISTINCT batch, CASE WHEN batch % 4 = 3 THEN 99 END AS place,
        CASE WHEN batch % 4 = 3 THEN 'unknown product' ELSE 'unreadable reply' END AS reason
 FROM batches WHERE batch % 4 IN (2, 3)""")
 def _(t):
-    return catalog.parsed_replies(batches(t, None), replies(t)).failures
+    return catalog.parsed_replies(batches(t), replies(t)).failures
 
 
 def described(t):
     """Every product with a description composed from its own attributes."""
-    return batches(t, None).withColumn(
+    return batches(t).withColumn(
         "description", F.concat(F.lit("A "), F.lower("department"), F.lit(" product of "), "aisle", F.lit(" made for daily use at home"))
     )
 
@@ -242,7 +243,7 @@ def _(t):
 
 
 @lru_cache(maxsize=4)
-def _text_index(spark, folder):
+def _text_index(spark, folder, state):
     t = tables.Tables(spark, folder)
     documents = catalog.catalog_documents(described(t))
     encoder = catalog.TextEncoder.fit(documents, "document")
@@ -258,14 +259,14 @@ def questions(t):
 
 
 def search_hits(t):
-    encoder, index = _text_index(t.spark, t.folder)
+    encoder, index = _text_index(t.spark, t.folder, t.state())
     return catalog.search(encoder(questions(t), "question"), index, 5)
 
 
 @query("c04_document_vectors")
 def _(t):
     """The written vector table, one row per document."""
-    _, index = _text_index(t.spark, t.folder)
+    _, index = _text_index(t.spark, t.folder, t.state())
     return index.select("id", F.size("embedding").alias("dimensions"), "metadata.product_name")
 
 
@@ -287,7 +288,7 @@ SCREEN = "|".join(REJECTED_PATTERNS)
 
 
 @query("c07_screened_questions", f"""WITH q AS (
-  SELECT conv_id, turn, substr(regexp_replace(regexp_replace(text, '^\\s+', ''), '\\s+$', ''), 1, 500) AS question
+  SELECT conv_id, turn, regexp_replace(regexp_replace(text, '^\\s+', ''), '\\s+$', '') AS question
   FROM conversations WHERE role = 'user')
 SELECT conv_id, turn, question, regexp_matches(question, '(?i)({SCREEN})') AS rejected FROM q""")
 def _(t):
@@ -297,7 +298,7 @@ def _(t):
 
 @query("c09_index_checks")
 def _(t):
-    _, index = _text_index(t.spark, t.folder)
+    _, index = _text_index(t.spark, t.folder, t.state())
     return rounded(catalog.index_checks(index, described(t), search_hits(t), 5), mean_length=2)
 
 

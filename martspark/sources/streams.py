@@ -7,6 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 
 from martspark.sources.tables import Tables
 
@@ -70,9 +71,31 @@ def json_messages(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct(*[F.col(c) for c in df.columns])).alias("value"))
 
 
-def without_repeats(events: DataFrame, keys: list[str], delay: str = "10 minutes") -> DataFrame:
-    """Drop redelivered messages; a key is remembered until the watermark passes it."""
-    return events.withWatermark("timestamp", delay).dropDuplicatesWithinWatermark(keys)
+def start_without_repeats(events: DataFrame, keys: list[str], path: str, checkpoint: str) -> StreamingQuery:
+    """Write each message of a stream once, however late it or its repeats arrive.
+
+    What was written is the memory: it lies in folders by event day, and a
+    micro-batch is compared with the days it holds only, so nothing grows in the
+    executors and no row is dropped for being late. Repeats share keys and event
+    time. A batch that is run again replaces its own folder and ignores it.
+    """
+    spark = events.sparkSession
+    stored = T.StructType([*events.schema.fields, T.StructField("day", T.StringType()), T.StructField("batch", T.LongType())])
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        day = F.coalesce(F.date_format("timestamp", "yyyy-MM-dd"), F.lit("none"))
+        fresh = batch.dropDuplicates(keys).withColumn("day", day).persist()
+        days = [r.day for r in fresh.select("day").distinct().collect()]  # one row per event day
+        if batch_id and days:
+            seen = spark.read.schema(stored).parquet(path).filter(F.col("day").isin(days) & (F.col("batch") < batch_id))
+            new = fresh.join(seen.select(*keys, "day"), [*keys, "day"], "left_anti")
+        else:
+            new = fresh
+        new.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").option(
+            "partitionOverwriteMode", "dynamic").partitionBy("day", "batch").parquet(path)
+        fresh.unpersist()
+
+    return events.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def write_replay(df: DataFrame, time: Column, path: str, slices: int = 8, files_per_slice: int = 1) -> None:

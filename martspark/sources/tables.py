@@ -26,6 +26,12 @@ class Tables:
         frame = read_parquet(self.spark, f"{self.folder}/{name}.parquet")
         return frame.select(*columns) if columns else frame
 
+    def state(self) -> int:
+        """A number that changes when any file below the folder is replaced, added or removed."""
+        files = self.spark.read.format("binaryFile").option("recursiveFileLookup", True).load(self.folder)
+        mark = F.xxhash64("path", "modificationTime", "length")
+        return files.select(mark.alias("h")).agg(F.coalesce(F.bit_xor("h"), F.lit(0))).first()[0]
+
 
 # ---------------------------------------------------------------- transactions
 

@@ -10,14 +10,15 @@ from martspark.plans import feed
 from martspark.sources.streams import json_messages
 
 OUTPUTS = ("enriched", "alerts.inventory", "alerts.revenue")
+COUNTERS = "counters"
 
 
-def counted(enriched: DataFrame, min_quantity: int, factor: float, revenue_limit: float) -> DataFrame:
-    """Attach progress counters (processed rows and alerts); they appear in the query's progress."""
+def counters(batch: DataFrame, min_quantity: int, factor: float, revenue_limit: float) -> DataFrame:
+    """One row: processed rows and alerts of a micro-batch."""
     usual = F.col("product_units") / F.greatest(F.col("revenue_rank"), F.lit(1))
     large = (F.col("revenue_rank") != -1) & (F.col("quantity") >= min_quantity) & (F.col("quantity") > usual * factor)
-    return enriched.observe(
-        "feed", F.count(F.lit(1)).alias("processed"),
+    return batch.agg(
+        F.count(F.lit(1)).alias("processed"),
         (F.count_if(large) + F.count_if(F.col("revenue") > revenue_limit)).alias("alerts_sent"),
     )
 
@@ -33,7 +34,7 @@ def start_feed(
 ) -> StreamingQuery:
     """Enrich a stream and write messages and both kinds of alert.
 
-    A micro-batch is enriched once and kept while its three outputs are written.
+    A micro-batch is enriched once and kept while its outputs and counters are written.
     Every output has a folder per batch number and replaces it, so a batch that
     is repeated after a failure leaves no doubles.
     """
@@ -47,11 +48,12 @@ def start_feed(
         }
         for name, part in parts.items():
             json_messages(part).write.mode("overwrite").text(f"{path}/{name}/batch={batch_id}")
+        counted = counters(batch, min_quantity, factor, revenue_limit)
+        counted.write.mode("overwrite").parquet(f"{path}/{COUNTERS}/batch={batch_id}")
         batch.unpersist()
 
-    enriched = counted(feed.enrich(events, lookup), min_quantity, factor, revenue_limit)
     return (
-        enriched.writeStream.foreachBatch(route).option("checkpointLocation", checkpoint)
+        feed.enrich(events, lookup).writeStream.foreachBatch(route).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start()
     )
 
@@ -62,14 +64,9 @@ def read_output(spark, path: str, name: str, schema) -> DataFrame:
     return lines.select(F.from_json("value", schema).alias("m")).select("m.*")
 
 
-def progress_counters(query: StreamingQuery) -> list[dict]:
-    """Processed rows and alerts per micro-batch, oldest first."""
-    rows = []
-    for progress in query.recentProgress:
-        observed = progress.observedMetrics.get("feed")
-        if observed is not None:
-            rows.append({"batch": progress.batchId, "processed": observed["processed"], "alerts_sent": observed["alerts_sent"]})
-    return rows
+def progress_counters(spark, path: str) -> DataFrame:
+    """Processed rows and alerts of every micro-batch of the feed, however many there were."""
+    return spark.read.schema("processed long, alerts_sent long, batch long").parquet(f"{path}/{COUNTERS}")
 
 
 def alert_stream(spark, path: str, schema) -> DataFrame:

@@ -6,26 +6,37 @@ from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from martspark.operators.ratelimit import RATE_LIMIT, RATE_WINDOW_SECONDS, decide
 
 
-def run_to_table(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
-    """Run a stream over all available input into Parquet.
+def run_to_table(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Run a stream over all available input into Parquet."""
+    writer = df.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    return writer.outputMode("append").format("parquet").option("path", path).start()
+
+
+def run_updates(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Run an aggregation in update mode: a folder per micro-batch holds the groups it changed."""
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-    Append mode uses the file sink; complete mode replaces the table per batch.
-    """
     writer = df.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
-    if mode == "append":
-        return writer.outputMode("append").format("parquet").option("path", path).start()
+    return writer.outputMode("update").foreachBatch(keep).start()
 
-    def replace(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
 
-    return writer.outputMode(mode).foreachBatch(replace).start()
+def newest(spark: SparkSession, path: str, schema: T.StructType, keys: list[str]) -> DataFrame:
+    """The latest state of every group from what ``run_updates`` left."""
+    rows = spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.LongType())])).parquet(path)
+    measures = [f.name for f in schema.fields if f.name not in keys]
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*measures), "batch").alias("m"))
+    return last.select(*keys, *(F.col(f"m.{name}").alias(name) for name in measures))
 
 
 def rate_limited_stream(
