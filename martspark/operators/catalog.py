@@ -136,7 +136,7 @@ class TextEncoder:
         self.model = model
 
     @staticmethod
-    def fit(corpus: DataFrame, text: str, dimensions: int = 1 << 12) -> "TextEncoder":
+    def fit(corpus: DataFrame, text: str, dimensions: int = 512) -> "TextEncoder":
         stages = [
             RegexTokenizer(inputCol="_text", outputCol="_words", pattern=r"[^\p{L}\p{N}]+", minTokenLength=2),
             HashingTF(inputCol="_words", outputCol="_counts", numFeatures=dimensions),

@@ -60,8 +60,13 @@ def nearest(
 
     def best(ids, item_ids, similarity) -> pd.DataFrame:
         take = min(k, similarity.shape[1])
-        # Items are in id order and the sort is stable, so equal values keep the lower id.
-        order = np.argsort(-similarity, axis=1, kind="stable")[:, :take]
+        # Of the values equal to the k-th largest, those with the lower ids fill the places that are left; items are in id order.
+        limit = np.partition(similarity, similarity.shape[1] - take, axis=1)[:, [similarity.shape[1] - take]]
+        above, equal = similarity > limit, similarity == limit
+        chosen = above | (equal & (np.cumsum(equal, axis=1) <= take - above.sum(axis=1, keepdims=True)))
+        picked = np.nonzero(chosen)[1].reshape(len(ids), take)
+        inside = np.argsort(-np.take_along_axis(similarity, picked, axis=1), axis=1, kind="stable")
+        order = np.take_along_axis(picked, inside, axis=1)
         values = np.take_along_axis(similarity, order, axis=1)
         frame = pd.DataFrame({
             "query_id": np.repeat(ids, take), "item_id": item_ids[order.ravel()], "similarity": values.ravel()

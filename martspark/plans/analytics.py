@@ -105,6 +105,18 @@ def latest_per_department(demand: DataFrame) -> DataFrame:
     return demand.groupBy("store_id", "dept_id").agg(newest.alias("r")).select("store_id", "dept_id", "r.*")
 
 
+def lowest_stock(demand: DataFrame, n: int = 20, threshold_days: float = 2.0) -> DataFrame:
+    """Per store the ``n`` departments whose latest units are lowest against their baseline.
+
+    There is one row per store and department before the ranking.
+    """
+    stock = F.when(F.col("units_28d_avg") > 0, F.col("total_units") / F.nullif(F.col("units_28d_avg"), F.lit(0.0)))
+    rows = latest_per_department(demand).withColumn("days_of_stock_proxy", stock).filter(
+        F.col("days_of_stock_proxy") < threshold_days)
+    place = F.row_number().over(Window.partitionBy("store_id").orderBy("days_of_stock_proxy", "dept_id"))
+    return rows.withColumn("_place", place).filter(F.col("_place") <= n).drop("_place")
+
+
 def inventory_status(demand: DataFrame, store_id: str = ALL, threshold_days: float = 2.0) -> DataFrame:
     """The 20 departments whose latest units are lowest against their baseline."""
     stock = F.when(F.col("units_28d_avg") > 0, F.col("total_units") / F.nullif(F.col("units_28d_avg"), F.lit(0.0)))

@@ -7,6 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from martspark.functions.numeric import stable_round
 from martspark.operators.catalog import search
 from martspark.plans import analytics
 from martspark.sources.warehouse import append_alerts, append_reports
@@ -22,7 +23,7 @@ class MonitoringRun(NamedTuple):
 
 def monitoring_report(
     demand: DataFrame,
-    stores: tuple[str, ...] = ("CA_1", "TX_1"),
+    stores: tuple[str, ...] | None = ("CA_1", "TX_1"),
     index: DataFrame | None = None,
     questions=None,
     deviation_limit: float = DEVIATION_LIMIT_PCT,
@@ -31,26 +32,24 @@ def monitoring_report(
     """One monitoring run over the demand mart.
 
     All inputs of the report are bounded answers: one summary row, ten
-    deviations and at most twenty stock rows per store. With a document index
+    deviations and at most twenty stock rows per store (``stores=None``: every store of
+    the mart). With a document index
     and an encoder for ``questions`` the titles are looked up in the catalog.
     """
     kpi = analytics.query_kpis(demand, "7d")
     forecast = analytics.forecast_vs_actual(demand)
-    stock = None
-    for store in stores:
-        rows = analytics.inventory_status(demand, store)
-        stock = rows if stock is None else stock.unionByName(rows)
+    stock = analytics.lowest_stock(demand if stores is None else demand.filter(F.col("store_id").isin(*stores)))
 
     deviating = forecast.deviations.filter(F.col("mape_pct") > deviation_limit).select(
         F.lit("high").alias("severity"),
         F.concat_ws(" ", F.lit("Demand deviates in"), "store_id", "dept_id", "cat_id").alias("title"),
-        F.format_string("%d units against a baseline of %.1f", "actual_units", "forecast_proxy").alias("message"),
+        F.format_string("%d units against a baseline of %.1f", F.col("actual_units"), stable_round(F.col("forecast_proxy"), 1)).alias("message"),
         F.lit("Check promotions and data feeds of the department.").alias("recommended_action"),
     )
     low_stock = stock.filter(F.col("days_of_stock_proxy") < stock_limit).select(
         F.lit("medium").alias("severity"),
         F.concat_ws(" ", F.lit("Low sales against baseline in"), "store_id", "dept_id").alias("title"),
-        F.format_string("ratio %.2f", "days_of_stock_proxy").alias("message"),
+        F.format_string("ratio %.2f", stable_round(F.col("days_of_stock_proxy"), 2)).alias("message"),
         F.lit("Review stock on hand.").alias("recommended_action"),
     )
     alerts = deviating.unionByName(low_stock)

@@ -12,7 +12,7 @@ from martspark.registry.analytics import experiment_log
 from martspark.registry.layers import CATALOG_ORACLE, demand, staged_sales
 from martspark.plans import intermediate, staging
 from martspark.registry.vectors import described
-from martspark.session import working_path
+from martspark.session import working_path, written
 from martspark.sources import cleaning, readers, tables, warehouse
 
 CATALOG_SCHEMA = T.StructType([
@@ -119,16 +119,35 @@ def _(t):
     )
 
 
+MONITORED = DEMAND + f""", dev AS (
+  SELECT *, CASE WHEN units_28d_avg > 0 THEN abs(total_units - units_28d_avg) / units_28d_avg * 100 END AS ape FROM demand
+  WHERE sale_date = (SELECT max(sale_date) FROM demand)
+  ORDER BY ape DESC NULLS LAST, store_id, dept_id, cat_id LIMIT 10),
+stock AS (
+  SELECT *, row_number() OVER (PARTITION BY store_id ORDER BY proxy, dept_id) AS place FROM (
+    SELECT *, total_units / units_28d_avg AS proxy,
+           row_number() OVER (PARTITION BY store_id, dept_id ORDER BY sale_date DESC, cat_id DESC) AS rn FROM demand)
+  WHERE rn = 1 AND units_28d_avg > 0 AND total_units / units_28d_avg < 2.0),
+alerts AS (
+  SELECT 'high' AS severity, concat_ws(' ', 'Demand deviates in', store_id, dept_id, cat_id) AS title,
+         format('{{}} units against a baseline of {{:.1f}}', CAST(total_units AS BIGINT), {r('units_28d_avg', 1)}) AS message,
+         'Check promotions and data feeds of the department.' AS recommended_action FROM dev WHERE ape > 50.0
+  UNION ALL
+  SELECT 'medium', concat_ws(' ', 'Low sales against baseline in', store_id, dept_id), format('ratio {{:.2f}}', {r('proxy', 2)}),
+         'Review stock on hand.' FROM stock WHERE place <= 20 AND proxy < 1.0)"""
+
+
 def monitored(t):
     documents = catalog.catalog_documents(described(t))
     encoder = catalog.TextEncoder.fit(documents, "document")
+    index = written(catalog.vector_table(documents, encoder), "document-vectors")
     return monitoring.monitoring_report(
-        demand(t), ("AF_0", "AM_1"), catalog.vector_table(documents, encoder), encoder,
+        written(demand(t), "demand"), None, index, encoder,
         deviation_limit=50.0, stock_limit=1.0,
     )
 
 
-@query("q12_monitoring_alerts")
+@query("q12_monitoring_alerts", f"WITH {MONITORED} SELECT severity, title, message, recommended_action FROM alerts")
 def _(t):
     """Q12: alerts raised by the rules of a monitoring run."""
     return monitored(t).alerts

