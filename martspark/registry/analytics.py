@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from martspark.functions.routing import experiment_bucket, experiment_variant
 from martspark.plans import analytics, opsmetrics
 from martspark.registry.base import DEMAND, KPIS, TX, iso, iso_time, query, r, rounded
-from martspark.registry.layers import PERFORMANCE, demand, kpis, performance, staged_transactions
+from martspark.registry.layers import PERFORMANCE, mart, staged_transactions
 from martspark.sources import tables
 
 LATEST = "(SELECT max(sale_date) FROM demand)"
@@ -19,7 +19,7 @@ SELECT {r('sum(total_revenue)', 2)} AS total_revenue, CAST(sum(total_units) AS B
        {r('avg(avg_price)', 4)} AS avg_price, count(DISTINCT store_id) AS active_stores,
        {iso('max(sale_date)')} AS latest_date FROM demand WHERE {RECENT} AND dept_id = 'Brand#12'""")
 def _(t):
-    answer = analytics.query_kpis(demand(t), "7d", category="Brand#12")
+    answer = analytics.query_kpis(mart(t, "daily_demand"), "7d", category="Brand#12")
     return rounded(answer.summary, total_revenue=2, avg_price=4)
 
 
@@ -30,7 +30,7 @@ SELECT dept_id, {r('sum(total_revenue)', 2)} AS revenue FROM demand WHERE {RECEN
 GROUP BY 1 ORDER BY sum(total_revenue) {_order}, 1 LIMIT 5""")
     def _(t, which=f"{_name}_departments"):
         """Five best or worst departments of the trailing week."""
-        return rounded(getattr(analytics.query_kpis(demand(t), "7d"), which), revenue=2)
+        return rounded(getattr(analytics.query_kpis(mart(t, "daily_demand"), "7d"), which), revenue=2)
 
 
 @query("q01_store_summary", f"""WITH {DEMAND}
@@ -40,7 +40,7 @@ SELECT {r('sum(total_revenue)', 2)} AS total_revenue, CAST(sum(total_units) AS B
 FROM demand WHERE sale_date >= CAST({LATEST} - INTERVAL 1 DAY AS DATE) AND store_id = 'AF_0'""")
 def _(t):
     """Every short window means one day."""
-    return rounded(analytics.query_kpis(demand(t), "4h", "AF_0").summary, total_revenue=2, avg_price=4)
+    return rounded(analytics.query_kpis(mart(t, "daily_demand"), "4h", "AF_0").summary, total_revenue=2, avg_price=4)
 
 
 DEVIATIONS = DEMAND + f""", dev AS (
@@ -56,14 +56,14 @@ SELECT store_id, dept_id, cat_id, {iso('sale_date')} AS sale_date, CAST(total_un
 FROM dev""")
 def _(t):
     """Q2 and T3."""
-    answer = analytics.forecast_vs_actual(demand(t))
+    answer = analytics.forecast_vs_actual(mart(t, "daily_demand"))
     return rounded(answer.deviations, actual_revenue=2, forecast_proxy=4, mape_pct=4)
 
 
 @query("q02_forecast_summary", f"""WITH {DEVIATIONS}
 SELECT count(*) AS returned_rows, {r('avg(ape)', 2)} AS avg_ape_of_returned FROM dev""")
 def _(t):
-    return analytics.forecast_vs_actual(demand(t)).summary
+    return analytics.forecast_vs_actual(mart(t, "daily_demand")).summary
 
 
 @query("w09_latest_per_department", f"""WITH {DEMAND}
@@ -72,7 +72,7 @@ SELECT store_id, dept_id, {iso('sale_date')} AS sale_date, cat_id, CAST(total_un
 FROM (SELECT *, row_number() OVER (PARTITION BY store_id, dept_id ORDER BY sale_date DESC, cat_id DESC) AS rn FROM demand)
 WHERE rn = 1""")
 def _(t):
-    return rounded(analytics.latest_per_department(demand(t)), units_28d_avg=4)
+    return rounded(analytics.latest_per_department(mart(t, "daily_demand")), units_28d_avg=4)
 
 
 @query("q03_inventory_status", f"""WITH {DEMAND}
@@ -82,7 +82,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY store_id, dept_id ORDER BY sale_
 WHERE rn = 1 AND units_28d_avg > 0 AND total_units / units_28d_avg < 2.0
 ORDER BY total_units / units_28d_avg, store_id, dept_id LIMIT 20""")
 def _(t):
-    return rounded(analytics.inventory_status(demand(t)), units_28d_avg=4, days_of_stock_proxy=4)
+    return rounded(analytics.inventory_status(mart(t, "daily_demand")), units_28d_avg=4, days_of_stock_proxy=4)
 
 
 WEEK_START = "CAST((SELECT max(kpi_date) FROM kpis) - INTERVAL 7 DAYS AS DATE)"
@@ -99,20 +99,20 @@ SELECT {r('sum(total_revenue)', 2)} AS revenue_this_week, (SELECT {r('revenue',
        count(*) FILTER (is_revenue_spike) AS spike_days FROM cur""")
 def _(t):
     """Q4 with J7, J8 and A13."""
-    return analytics.weekly_totals(kpis(t))
+    return analytics.weekly_totals(mart(t, "executive_kpis"))
 
 
 @query("t04_top_products", f"""WITH {PERFORMANCE}
 SELECT product_name, {r('total_revenue', 2)} AS total_revenue, CAST(total_units_sold AS BIGINT) AS total_units_sold,
        revenue_rank FROM perf ORDER BY revenue_rank, product_id LIMIT 10""")
 def _(t):
-    return rounded(analytics.top_products(performance(t)), total_revenue=2)
+    return rounded(analytics.top_products(mart(t, "product_performance")), total_revenue=2)
 
 
 @query("c08_weekly_payload")
 def _(t):
     """The weekly answer as one JSON document."""
-    return analytics.weekly_payload(analytics.weekly_summary(kpis(t), performance(t)))
+    return analytics.weekly_payload(analytics.weekly_summary(mart(t, "executive_kpis"), mart(t, "product_performance")))
 
 
 @query("q05_recent_kpis", f"""WITH {KPIS}
@@ -120,7 +120,7 @@ SELECT {iso('kpi_date')} AS kpi_date, total_orders, unique_customers, total_unit
        revenue_wow_pct, is_revenue_spike FROM kpis ORDER BY kpi_date DESC LIMIT 30""")
 def _(t):
     """Q5 and T5."""
-    return analytics.recent_kpis(kpis(t), 30)
+    return analytics.recent_kpis(mart(t, "executive_kpis"), 30)
 
 
 @query("w19_day_over_day", f"""WITH {KPIS}, d AS (
@@ -134,7 +134,7 @@ SELECT {iso('kpi_date')} AS kpi_date, total_revenue, total_orders, unique_custom
 FROM d ORDER BY kpi_date DESC LIMIT 1""")
 def _(t):
     return rounded(
-        analytics.day_over_day(kpis(t)), total_revenue_delta_pct=2, total_orders_delta_pct=2,
+        analytics.day_over_day(mart(t, "executive_kpis")), total_revenue_delta_pct=2, total_orders_delta_pct=2,
         unique_customers_delta_pct=2, avg_basket_size_delta_pct=2,
     )
 
@@ -142,13 +142,13 @@ def _(t):
 @query("t07_last_order_counts", f"""WITH {KPIS}
 SELECT {iso('kpi_date')} AS kpi_date, total_orders FROM kpis ORDER BY kpi_date DESC LIMIT 14""")
 def _(t):
-    return analytics.last_order_counts(kpis(t))
+    return analytics.last_order_counts(mart(t, "executive_kpis"))
 
 
 @query("p28_spike_days", f"""WITH {KPIS}
 SELECT {iso('kpi_date')} AS kpi_date, total_revenue FROM kpis WHERE is_revenue_spike""")
 def _(t):
-    return analytics.spike_days(kpis(t))
+    return analytics.spike_days(mart(t, "executive_kpis"))
 
 
 @query("t06_revenue_by_country", f"""WITH {TX}

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import functions as F
 
 from martspark.plans import intermediate, marts, staging
+from martspark.plans.build import build
 from martspark.registry.base import (
     CATALOG, DAILY_SALES, DEMAND, INTERACTIONS, KPIS, PAIRS, SALES, TX, iso, iso_time, query, r, rounded,
 )
+from martspark.session import working_path, written
 from martspark.sources import cleaning, tables
 from martspark.sources.readers import stacked
 from martspark.sources.tables import Tables
@@ -33,7 +37,8 @@ def staged_interactions(t: Tables):
 
 
 def demand(t: Tables):
-    return marts.daily_demand(intermediate.daily_store_sales(staged_sales(t)))
+    # The frames read the daily sales twice; written once, the order lines are read once.
+    return marts.daily_demand(written(intermediate.daily_store_sales(staged_sales(t)), "daily-sales"))
 
 
 def kpis(t: Tables):
@@ -48,6 +53,21 @@ def performance(t: Tables):
     return marts.product_performance(staged_transactions(t, "description"))
 
 
+@lru_cache(maxsize=8)
+def _built(spark, folder, state):
+    return build(Tables(spark, folder), working_path(spark, "warehouse"), f"_{abs(hash((folder, state))):x}")
+
+
+def built(t: Tables):
+    """The warehouse of a folder, built once per session and state of the folder's files."""
+    return _built(t.spark, t.folder, t.state())
+
+
+def mart(t: Tables, name: str):
+    """A mart table as the build wrote it; questions read these."""
+    return built(t).table("mart", name)
+
+
 # --------------------------------------------------------------------- staging
 
 

@@ -9,7 +9,7 @@ from martspark.plans import analytics, monitoring
 from martspark.operators import catalog
 from martspark.registry.base import CATALOG, DAILY_SALES, DEMAND, ORDER_HEADERS, iso, query, r, rounded
 from martspark.registry.analytics import experiment_log
-from martspark.registry.layers import CATALOG_ORACLE, demand, staged_sales
+from martspark.registry.layers import CATALOG_ORACLE, built, mart, staged_sales
 from martspark.plans import intermediate, staging
 from martspark.registry.vectors import described
 from martspark.session import working_path, written
@@ -100,7 +100,7 @@ def _(t):
 
 def spike_alerts(t):
     """One alert per spike row of the demand mart."""
-    return demand(t).filter("is_revenue_spike").select(
+    return mart(t, "daily_demand").filter("is_revenue_spike").select(
         F.when(F.col("total_revenue") > 4 * F.col("revenue_28d_avg"), "high").otherwise("medium").alias("severity"),
         F.concat_ws(" ", F.lit("Spike in"), "store_id", "dept_id").alias("title"),
         F.col("cat_id").alias("message"), F.lit("Review").alias("recommended_action"),
@@ -142,7 +142,7 @@ def monitored(t):
     encoder = catalog.TextEncoder.fit(documents, "document")
     index = written(catalog.vector_table(documents, encoder), "document-vectors")
     return monitoring.monitoring_report(
-        written(demand(t), "demand"), None, index, encoder,
+        mart(t, "daily_demand"), None, index, encoder,
         deviation_limit=50.0, stock_limit=1.0,
     )
 
@@ -171,6 +171,48 @@ SELECT 'Spikes: ' || count(*) AS report FROM demand WHERE is_revenue_spike""")
 def _(t):
     """T5: the newest of the stored reports."""
     path = working_path(t.spark, "reports")
-    text = demand(t).agg(F.concat(F.lit("Spikes: "), F.count_if("is_revenue_spike").cast("string")).alias("report"))
+    text = mart(t, "daily_demand").agg(F.concat(F.lit("Spikes: "), F.count_if("is_revenue_spike").cast("string")).alias("report"))
     warehouse.append_reports(text, path)
     return analytics.latest_rows(t.spark.read.parquet(path), "created_at", 1, "report_id").select("report")
+
+
+BUILT = {
+    ("raw", "transactions"): "SELECT count(*) FROM lineitem", ("raw", "sales"): "SELECT count(*) FROM lineitem",
+    ("intermediate", "daily_store_sales"): "SELECT count(*) FROM daily", ("mart", "daily_demand"): "SELECT count(*) FROM daily",
+    ("mart", "executive_kpis"): "SELECT count(DISTINCT CAST(o_orderdate AS DATE)) FROM lineitem JOIN orders ON l_orderkey = o_orderkey",
+    ("mart", "product_performance"): "SELECT count(DISTINCT l_partkey) FROM lineitem",
+    ("mart", "dim_stores"): "SELECT count(DISTINCT store_id) FROM sales",
+}
+
+
+@query("k02_warehouse_tables", f"WITH {DAILY_SALES} " + " UNION ALL ".join(
+    f"SELECT '{layer}' AS layer, '{name}' AS table_name, ({sql}) AS rows" for (layer, name), sql in BUILT.items()))
+def _(t):
+    """K2, K4 and K8: the tables that a build leaves in each layer's schema, with their rows."""
+    done, rows = built(t), None
+    for layer in ("raw", "intermediate", "mart"):
+        for name in done.listed(layer):
+            count = done.table(layer, name).agg(
+                F.lit(layer).alias("layer"), F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("rows"))
+            rows = count if rows is None else rows.unionByName(count)
+    return rows
+
+
+@query("k08_tables_by_name", """SELECT 'daily_demand' AS table_name, 'daily' AS part UNION ALL
+SELECT 'executive_kpis', 'kpis' UNION ALL SELECT 'dim_stores', 'stores'""")
+def _(t):
+    """The search for tables by a part of their name."""
+    done = built(t)
+    found = [(name, part) for part in ("daily", "kpis", "stores", "nothing") for name in done.listed("mart", part)]
+    return t.spark.createDataFrame(found, "table_name string, part string")
+
+
+@query("d09_table_states", f"""WITH {DAILY_SALES}
+SELECT 'daily_demand' AS table_name, true AS "exists", true AS "columns", count(*) > 0 AS has_rows FROM daily UNION ALL
+SELECT 'executive_kpis', true, false, count(*) > 0 FROM orders UNION ALL SELECT 'no_such_table', false, false, false""")
+def _(t):
+    """Whether tables exist, have the asked columns and hold rows."""
+    done = built(t)
+    asked = {"daily_demand": ["store_id", "units_28d_avg"], "executive_kpis": ["kpi_date", "no_such_column"], "no_such_table": ["a"]}
+    states = [(name, *warehouse.table_state(t.spark, done.name("mart", name), columns).values()) for name, columns in asked.items()]
+    return t.spark.createDataFrame(states, "table_name string, exists boolean, columns boolean, has_rows boolean")

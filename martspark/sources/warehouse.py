@@ -15,12 +15,18 @@ def create_schemas(spark: SparkSession, names: tuple[str, ...] = SCHEMAS) -> lis
     return [d.name for d in spark.catalog.listDatabases()]
 
 
-def materialise(df: DataFrame, layer: str, name: str) -> DataFrame:
-    """Staging becomes a view, every other layer a table that replaces its predecessor."""
+def materialise(df: DataFrame, layer: str, name: str, path: str | None = None) -> DataFrame:
+    """Staging becomes a view, every other layer a table that replaces its predecessor.
+
+    With a path the table's files lie there, else in the catalog's own folder.
+    """
     if layer == "staging":
         df.createOrReplaceTempView(name)
         return df.sparkSession.table(name)
-    df.write.mode("overwrite").format("parquet").saveAsTable(f"{layer}.{name}")
+    writer = df.write.mode("overwrite").format("parquet")
+    if path is not None:
+        writer = writer.option("path", path)
+    writer.saveAsTable(f"{layer}.{name}")
     return df.sparkSession.table(f"{layer}.{name}")
 
 
