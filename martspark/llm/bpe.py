@@ -12,12 +12,14 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from itertools import islice
 
 import numpy as np
 
 KEPT_SEGMENTS = 600_000
 KEPT_LENGTH = 64
+MARKS = ".,;:!?"
 
 _ODD_SPACES = re.compile(r" (?=\s)| $")
 _CUT = re.compile(r"(?= \S)")
@@ -46,22 +48,32 @@ class Encoder:
 
     def _learn(self, pieces: list[str]) -> dict[str, bytes]:
         encoded = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-        return {piece: np.asarray(e.ids, dtype="<u4").tobytes() for piece, e in zip(pieces, encoded)}
+        return {piece: array("I", e.ids).tobytes() for piece, e in zip(pieces, encoded)}
 
     def pieces(self, text: str) -> tuple[list[str], list[bytes]]:
         """The text's segments and the ids of each."""
         cut = segments(text)
         known = self.known
-        try:
-            return cut, [known[piece] for piece in cut]
-        except KeyError:
-            fresh = self._learn([piece for piece in dict.fromkeys(cut) if piece not in known])
-        ids = [known[piece] if piece in known else fresh[piece] for piece in cut]
-        room = KEPT_SEGMENTS - len(known)
-        if room > 0:
-            known.update(islice(((p, v) for p, v in fresh.items() if len(p) <= KEPT_LENGTH), room))
+        ids = list(map(known.get, cut))
+        if None in ids:
+            fresh = self._missing({cut[k] for k, found in enumerate(ids) if found is None})
+            ids = [fresh[piece] if found is None else found for piece, found in zip(cut, ids)]
+            room = KEPT_SEGMENTS - len(known)
+            if room > 0:
+                known.update(islice(((p, v) for p, v in fresh.items() if len(p) <= KEPT_LENGTH), room))
         return cut, ids
 
+    def _missing(self, pieces: set[str]) -> dict[str, bytes]:
+        """Ids of pieces that are not kept; letters with one mark behind are two pre-tokens, each of which may be kept."""
+        known = self.known
+        parts = {p: (p[:-1], p[-1]) for p in pieces if p[-1] in MARKS and p[0] == " " and p[1:-1].isalpha()}
+        wanted = [p for p in pieces if p not in parts]
+        wanted += {part for pair in parts.values() for part in pair if part not in known}.difference(pieces)
+        fresh = self._learn(wanted)
+        for piece, (word, mark) in parts.items():
+            fresh[piece] = (known.get(word) or fresh[word]) + (known.get(mark) or fresh[mark])
+        return fresh
+
     def ids(self, text: str | None) -> bytes:
         """All ids of a text (none for a missing one)."""
         return b"".join(self.pieces(text)[1]) if text else b""
