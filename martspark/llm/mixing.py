@@ -83,22 +83,24 @@ def fit_topics(docs: DataFrame, k: int = TOPICS, sample: int = TOPIC_SAMPLE) ->
     n = docs.count()
     if not n:
         return none
-    picked = docs.select("text", "lang").filter(
-        F.pmod(F.xxhash64("text", F.lit(SEED)), F.lit(max(1, n // (2 * sample)))) == 0).limit(sample)
+    # About twice the sample by a hash, of which the smallest hashes are taken: the same documents on every run.
+    mark = F.xxhash64("text", F.lit(SEED))
+    picked = docs.select("text", "lang", mark.alias("mark")).filter(F.pmod("mark", F.lit(max(1, n // (2 * sample)))) == 0)
 
     def vectors(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in batches(frames):
             found = [word_vector(t.as_py())[1].tolist() for t in frame.column(0)]
-            yield pa.record_batch([pa.array(found, pa.list_(pa.float64())), frame.column(1)], names=["v", "lang"])
+            yield pa.record_batch([pa.array(found, pa.list_(pa.float64())), frame.column(1), frame.column(2)],
+                                  names=["v", "lang", "mark"])
 
-    rows = written(picked.mapInArrow(vectors, "v array<double>, lang string"), "topic-sample").collect()
-    rows = [r for r in rows if any(r.v)]
+    points = picked.mapInArrow(vectors, "v array<double>, lang string, mark long").orderBy("mark", "lang").limit(sample)
+    rows = [r for r in written(points, "topic-sample").orderBy("mark", "lang").collect() if any(r.v)]
     if len(rows) < 2 * k:  # too few to tell topics apart
         return none
     points, langs = np.array([r.v for r in rows]), [r.lang for r in rows]
     means = {lang: points[[x == lang for x in langs]].mean(0) for lang in set(langs)}
     centred = [(v - means[lang]).tolist() for v, lang in zip(points, langs)]
-    frame = docs.sparkSession.createDataFrame(pa.table({"v": pa.array(centred, pa.list_(pa.float64()))}))
+    frame = docs.sparkSession.createDataFrame(pa.table({"v": pa.array(centred, pa.list_(pa.float64()))})).coalesce(1)
     model = KMeans(k=k, seed=SEED, maxIter=10).fit(frame.select(array_to_vector("v").alias("features")))
     return Topics(means, np.array(model.clusterCenters()))
 
