@@ -17,7 +17,7 @@ from itertools import islice
 
 import numpy as np
 
-KEPT_SEGMENTS = 600_000
+KEPT_SEGMENTS = 250_000
 KEPT_LENGTH = 64
 MARKS = ".,;:!?"
 
