@@ -10,8 +10,9 @@ dropped whole, or left to its children. Kept and dropped elements decide for all
 that is below them; an element left to its children gives up its own score. The
 choice with the largest sum of scores is found in one pass from the leaves up.
 
-The model is fitted (``pyspark.ml``) on at most ``SAMPLE_PAGES`` pages, a bound for
-the fit alone. Labels come from pages that mark one ``article`` or ``main`` element:
+The model is fitted (``pyspark.ml``) on at most ``SAMPLE_PAGES`` distinct marked pages,
+those of the smallest hashes, a bound for the fit alone. Labels come from pages that
+mark one ``article`` or ``main`` element:
 what is inside is main text. The sample is varied: marks are taken away, and
 menus, sidebars, notices, forms and reader comments made of the page's own
 words are set around the text, so that the model does not rest on one tag. If no
@@ -272,6 +273,7 @@ def main_text(html: str | None, model: Trees) -> str:
 # ------------------------------------------------------------------ training
 
 _MARKED = re.compile(r"<(article|main)\b[^>]*>(.*?)</\1\s*>", re.S | re.I)
+_MARKED_SQL = r"(?isU)<(article|main)\b[^>]*>(.*?)</\1\s*>"  # the same pattern for Spark
 _BODY = re.compile(r"<body\b[^>]*>", re.I)
 
 
@@ -345,14 +347,25 @@ def labelled_nodes(html: str, seed: int) -> Iterator[tuple[np.ndarray, float]]:
                 yield x[k], float(inside[k] and not dropped[k])
 
 
+def marked_pages(pages: DataFrame, bound: int = SAMPLE_PAGES) -> DataFrame:
+    """``html``: at most ``bound`` distinct pages that mark exactly one element, those of the smallest hashes, in that order.
+
+    Hashes are settled first, so that only the picked pages are shuffled.
+    """
+    html = pages.select(F.col("html").cast("string").alias("html")).withColumn("mark", F.xxhash64("html"))
+    marked = F.regexp_count("html", F.lit(_MARKED_SQL)) == 1
+    marks = [r.mark for r in html.filter(marked).select("mark").distinct().orderBy("mark").limit(bound).collect()]
+    last = marks[-1] if marks else None
+    picked = html.filter(F.col("mark") <= F.lit(last).cast("long")).filter(marked).groupBy("mark").agg(F.min("html").alias("html"))
+    return picked.repartition(1).sortWithinPartitions("mark").select("html")
+
+
 def fit(pages: DataFrame) -> Trees:
-    """Fit the model on marked pages of a bounded sample picked by a hash."""
+    """Fit the model on a bounded sample of the marked pages."""
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.functions import array_to_vector
 
-    n = pages.count()
-    picked = pages.select(F.col("html").cast("string").alias("html")).filter("html is not null").filter(
-        F.pmod(F.xxhash64("html"), F.lit(max(1, n // (2 * SAMPLE_PAGES)))) == 0).limit(SAMPLE_PAGES)
+    picked = marked_pages(pages)
 
     def nodes(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in batches(frames):

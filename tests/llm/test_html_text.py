@@ -6,7 +6,7 @@ import re
 import numpy as np
 import pytest
 
-from martspark.llm.html_text import Page, Trees, extracted, fit, main_text, variants
+from martspark.llm.html_text import Page, Trees, extracted, fit, main_text, marked_pages, variants
 
 
 @pytest.fixture(scope="module")
@@ -93,3 +93,17 @@ def test_edge_rows(spark, model):
     empty = pages.limit(0)
     assert extracted(empty).count() == 0
     assert {r.text for r in extracted(pages.filter("html like '%plain%'")).collect()} == {EDGE[2]}  # no marks: fixed rule
+
+
+def test_rare_marked_pages_are_learned_from(spark):
+    """Few marked pages among many without marks, and copies of one: each distinct marked page is in the sample."""
+    words = "Long sentences make up the story, and they go on for a while. " * 3
+    page = '<html><body><nav><a href=1>One</a></nav><{0}><h1>Head {1}</h1><p>{2}</p></{0}></body></html>'
+    marked = {page.format(tag, k, words) for k, tag in enumerate(["article", "main", "ARTICLE"])}
+    other = [f"<div><p>{words} {k}</p></div>" for k in range(3000)] + ["<main>a</main><article>b</article>", None]
+    htmls = [*other, *marked, *[min(marked)] * 500]
+    pages = spark.createDataFrame([(k, "u", h) for k, h in enumerate(htmls)], "page_id long, url string, html string")
+    got = [r.html for r in marked_pages(pages).collect()]
+    assert len(got) == 3 and set(got) == marked
+    assert [r.html for r in marked_pages(pages.repartition(3), 2).collect()] == got[:2]
+    assert fit(pages).trees
