@@ -8,9 +8,8 @@ targets, and the decision is a hash of the document, the same on every run.
 
 Topics come from ``k``-means over hashed word counts, less the mean of the
 document's language, so that a topic is not just a language again. Means and
-centres are fitted on at most ``TOPIC_SAMPLE`` documents (a documented bound for
-the fit alone); every document is assigned by its whole text. Tokens are the words
-of the text.
+centres are fitted on all documents that have words, a copy counting like any other
+document; a document is assigned by its whole text. Tokens are the words of the text.
 
 Cells are aggregated before any shuffle, so a source with most of the rows is one
 row per topic and language. Raking runs as groupings and joins over the cell table;
@@ -18,8 +17,8 @@ each round's table is written, so a lost executor costs one round.
 
 Defined results: a missing source or language counts as the empty name; a document
 without words has no tokens, the first topic, and is kept by its cell's factor; a
-cell without tokens has factor one; a sample of fewer than ``2 k`` documents with
-words gives one topic; targets without data are left out and the
+cell without tokens has factor one; fewer than ``2 k`` documents with
+words give one topic; targets without data are left out and the
 others scaled up; equal rows get equal decisions; an empty table gives an empty
 result. Other columns are carried through or left out, whatever their names.
 """
@@ -27,10 +26,11 @@ result. Other columns are carried through or left out, whatever their names.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,19 +38,19 @@ from martspark.llm.common import ROW, batches, packed, unpacked
 from martspark.session import written
 
 TOPICS = 8
-TOPIC_SAMPLE = 2000
 TOPIC_SLOTS = 256
 SMOOTHING = 0.9  # default targets: a value's share of tokens to this power
 TOLERANCE = 1e-3
 MAX_ROUNDS = 40
+BROADCAST_LANGUAGES = 10_000  # a language mean takes 2 KB, so this many are 20 MB
 BROADCAST_CELLS = 100_000  # a cell takes under 200 bytes, so this many are under 20 MB
 SEED = 7
 
 MARGINS = ("source", "lang", "topic")
 
 
-def word_vector(text: str | None) -> tuple[int, np.ndarray]:
-    """Number of words, and their hashed counts as a unit vector."""
+def word_counts(text: str | None) -> tuple[int, np.ndarray]:
+    """Number of words, and how many of them fall into each of ``TOPIC_SLOTS`` hash slots."""
     import xxhash
 
     words = (text or "").encode().lower().split()
@@ -58,51 +58,57 @@ def word_vector(text: str | None) -> tuple[int, np.ndarray]:
         return 0, np.zeros(TOPIC_SLOTS)
     distinct, times = np.unique(np.array(words, dtype=object), return_counts=True) if len(words) > 1 << 20 else (words, None)
     slots = np.fromiter(map(xxhash.xxh32_intdigest, distinct), np.int64, len(distinct)) & (TOPIC_SLOTS - 1)
-    counts = np.bincount(slots, weights=times, minlength=TOPIC_SLOTS).astype(float)
-    return len(words), counts / np.linalg.norm(counts)
+    return len(words), np.bincount(slots, weights=times, minlength=TOPIC_SLOTS).astype(float)
 
 
+@dataclass
 class Topics:
-    """Language means and topic centres; at most ``TOPIC_SAMPLE`` languages can have a mean."""
+    """Topic centres, and ``lang, offsets``: a language's number per centre to take from a vector's product with it.
 
-    def __init__(self, means: dict[str, np.ndarray], centres: np.ndarray):
-        self.means, self.centres = means, centres
-        self.offsets = (centres ** 2).sum(1) / 2
+    For a vector less its language's mean the nearest centre is the one of the largest
+    ``centre * vector - (centre * mean + centre ** 2 / 2)``. No offsets: one topic.
+    """
 
-    def of(self, vector: np.ndarray, lang: str) -> int:
-        mean = self.means.get(lang)
-        return int(np.argmax(self.centres @ (vector if mean is None else vector - mean) - self.offsets))
+    centres: np.ndarray
+    offsets: DataFrame | None = None
 
 
-def fit_topics(docs: DataFrame, k: int = TOPICS, sample: int = TOPIC_SAMPLE) -> Topics:
-    """Topics of ``docs(text, lang)``, fitted on at most ``sample`` documents picked by a hash."""
+def fit_topics(docs: DataFrame, k: int = TOPICS) -> Topics:
+    """Topics of ``docs(text, lang)``, fitted on all documents that have words."""
     from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    none = Topics({}, np.zeros((1, TOPIC_SLOTS)))
-    n = docs.count()
-    if not n:
-        return none
-    # About twice the sample by a hash, of which the smallest hashes are taken: the same documents on every run.
-    mark = F.xxhash64("text", F.lit(SEED))
-    picked = docs.select("text", "lang", mark.alias("mark")).filter(F.pmod("mark", F.lit(max(1, n // (2 * sample)))) == 0)
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
 
-    def vectors(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in batches(frames):
+            found = [word_counts(t.as_py()) for t in frame.column(0)]
+            counts = np.concatenate([c for _, c in found])
+            yield pa.record_batch([pa.ListArray.from_arrays(np.arange(len(found) + 1) * TOPIC_SLOTS, pa.array(counts.astype(np.int32))),
+                                   pa.array([float(np.linalg.norm(c)) for _, c in found], pa.float64()), frame.column(1)],
+                                  names=["counts", "norm", "lang"])
+
+    # Whole counts take a small part of the text's size on disk; unit vectors are made from them as they are read.
+    points = written(docs.select("text", "lang").mapInArrow(count, "counts array<int>, norm double, lang string")
+                     .filter("norm > 0"), "word-counts")
+    if len(points.limit(2 * k).collect()) < 2 * k:  # too few to tell topics apart
+        return Topics(np.zeros((1, TOPIC_SLOTS)))
+    points = points.select("lang", F.transform("counts", lambda n: n / F.col("norm")).alias("v"))
+    means = written(points.groupBy("lang").agg(vector_to_array(Summarizer.mean(array_to_vector("v"))).alias("mean")), "language-means")
+    centred = points.join(_small(means), "lang").select(
+        array_to_vector(F.zip_with("v", "mean", lambda a, b: a - b)).alias("features"))
+    centres = np.array(KMeans(k=k, seed=SEED, maxIter=10).fit(centred).clusterCenters())
+
+    def offset(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in batches(frames):
-            found = [word_vector(t.as_py())[1].tolist() for t in frame.column(0)]
-            yield pa.record_batch([pa.array(found, pa.list_(pa.float64())), frame.column(1), frame.column(2)],
-                                  names=["v", "lang", "mark"])
-
-    points = picked.mapInArrow(vectors, "v array<double>, lang string, mark long").orderBy("mark", "lang").limit(sample)
-    rows = [r for r in written(points, "topic-sample").orderBy("mark", "lang").collect() if any(r.v)]
-    if len(rows) < 2 * k:  # too few to tell topics apart
-        return none
-    points, langs = np.array([r.v for r in rows]), [r.lang for r in rows]
-    means = {lang: points[[x == lang for x in langs]].mean(0) for lang in set(langs)}
-    centred = [(v - means[lang]).tolist() for v, lang in zip(points, langs)]
-    frame = docs.sparkSession.createDataFrame(pa.table({"v": pa.array(centred, pa.list_(pa.float64()))})).coalesce(1)
-    model = KMeans(k=k, seed=SEED, maxIter=10).fit(frame.select(array_to_vector("v").alias("features")))
-    return Topics(means, np.array(model.clusterCenters()))
+            found = [(centres @ np.array(m) + (centres ** 2).sum(1) / 2).tolist() for m in frame.column(1).to_pylist()]
+            yield pa.record_batch([frame.column(0), pa.array(found, pa.list_(pa.float64()))], names=["lang", "offsets"])
+
+    return Topics(centres, written(means.mapInArrow(offset, "lang string, offsets array<double>"), "topic-offsets"))
+
+
+def _small(languages: DataFrame) -> DataFrame:
+    """A table with a row per language, broadcast unless there are too many of them."""
+    return F.broadcast(languages) if languages.count() <= BROADCAST_LANGUAGES else languages
 
 
 def with_topics(rows: DataFrame, topics: Topics) -> DataFrame:
@@ -110,12 +116,17 @@ def with_topics(rows: DataFrame, topics: Topics) -> DataFrame:
     kept = [f for f in rows.schema.fields if f.name != "text"]
     schema = T.StructType([*kept, T.StructField("topic", T.LongType()), T.StructField("n_tokens", T.LongType())])
     names = [f.name for f in kept]
+    centres = topics.centres
+    if topics.offsets is None:
+        rows = rows.withColumn("_offsets", F.lit(None).cast("array<double>"))
+    else:
+        rows = rows.join(_small(topics.offsets.withColumnRenamed("offsets", "_offsets")), "lang", "left")
 
     def assign(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in batches(frames):
-            found = [word_vector(t.as_py()) for t in frame.column("text")]
-            langs = frame.column("lang").to_pylist()
-            places = [topics.of(v, lang) if n else 0 for (n, v), lang in zip(found, langs)]
+            found = [word_counts(t.as_py()) for t in frame.column("text")]
+            offsets = frame.column("_offsets").to_pylist()
+            places = [int(np.argmax(centres @ (c / np.linalg.norm(c)) - of)) if n and of else 0 for (n, c), of in zip(found, offsets)]
             columns = [frame.column(name) for name in names]
             yield pa.record_batch([*columns, pa.array(places, pa.int64()), pa.array([n for n, _ in found], pa.int64())],
                                   names=[*names, "topic", "n_tokens"])

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from martspark.llm.mixing import MARGINS, mix, rake, sample_mixture
+from martspark.llm.mixing import MARGINS, fit_topics, mix, rake, sample_mixture, word_counts
 
 
 def plain_raking(cells, targets, rounds=4000):
@@ -72,3 +72,21 @@ def test_edge_rows(spark):
     assert mix(docs.limit(0)).count() == 0 and sample_mixture(docs.limit(0)).count() == 0
     wordless = docs.filter(F.col("doc_id").isin(2, 3))
     assert [r.kept for r in mix(wordless).collect()] == [True, True]
+
+
+def test_topics_come_from_all_documents(spark):
+    """A text with thousands of copies and a rare language: all documents count in the means, and topics stay apart."""
+    texts = spark.range(2000).select(F.concat(F.lit("hot text "), "id").alias("text"))
+    hot = texts.orderBy(F.xxhash64("text", F.lit(7))).first().text  # its hash comes before those of the others
+    rows = [(hot, "en")] * 6000 + [("", "en")] * 500
+    subjects = ["tree leaf root bark", "ship sail mast deck", "bread flour yeast oven"]
+    rare = [(f"{subjects[n % 3]} {subjects[n % 3]} n{n}", "xx") for n in range(30)]
+    docs = spark.createDataFrame(rows + rare, "text string, lang string").repartition(4)
+    topics = fit_topics(docs)
+    vectors = {"en": [word_counts(hot)[1]], "xx": [word_counts(t)[1] for t, _ in rare]}
+    offsets = {r.lang: r.offsets for r in topics.offsets.collect()}
+    for lang, own in vectors.items():
+        mean = np.mean([v / np.linalg.norm(v) for v in own], axis=0)
+        assert offsets[lang] == pytest.approx(list(topics.centres @ mean + (topics.centres ** 2).sum(1) / 2))
+    found = mix(docs.withColumns({"doc_id": F.monotonically_increasing_id(), "source": F.lit("s")})).filter("lang = 'xx'")
+    assert found.select("topic").distinct().count() >= 3
