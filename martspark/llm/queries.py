@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from martspark.llm.bpe import default_tokenizer
+from martspark.llm.chat_format import formatted, read_back, with_probe
+from martspark.llm.collocations import collocations
 from martspark.llm.decontaminate import contaminated
 from martspark.llm.edit_counts import edited_counts, redactions, token_trees
+from martspark.llm.filter_audit import filter_audit
 from martspark.llm.html_text import extracted
 from martspark.llm.line_dedup import without_repeats
 from martspark.llm.mixing import mix
@@ -164,3 +167,104 @@ def op10_main_text(spark: SparkSession, folder: str) -> DataFrame:
 def op9_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     """Findings of all documents with the forest's verdict."""
     return secret_findings(table(spark, folder, "documents"))
+
+
+OP11_SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, [x FOR x IN string_split_regex(text, '[\x20\x09-\x0D]+') IF x <> ''] AS words,
+             min(doc_id) OVER (PARTITION BY text) AS lowest FROM t),
+l AS (SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic FROM labels GROUP BY doc_id),
+d AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+             {'A': len(words) < 200,
+              'B': 100 * len(list_distinct(words)) < 50 * len(words),
+              'C': 100 * length(regexp_replace(text, '[^A-Z]+', '', 'g')) > 2 * length(text),
+              'D': regexp_matches(text, '[#$%&*|]'),
+              'E': coalesce(doc_id > lowest, false)} AS x
+      FROM w LEFT JOIN l USING (doc_id)),
+m AS (SELECT part, concat(CASE WHEN x.A THEN 'A' ELSE '' END, CASE WHEN x.B THEN 'B' ELSE '' END,
+                          CASE WHEN x.C THEN 'C' ELSE '' END, CASE WHEN x.D THEN 'D' ELSE '' END,
+                          CASE WHEN x.E THEN 'E' ELSE '' END) AS failed,
+             count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM d GROUP BY ALL),
+c AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+o AS (SELECT concat(a.f, b.f, c3.f, d4.f, e.f) AS filter_order FROM c a, c b, c c3, c d4, c e
+      WHERE len(list_distinct([a.f, b.f, c3.f, d4.f, e.f])) = 5),
+s AS (SELECT filter_order, step, substr(filter_order, step, 1) AS f, substr(filter_order, 1, step - 1) AS earlier
+      FROM o, range(1, 6) AS r(step)),
+j AS (SELECT part, filter_order, step, f, n, good, toxic, contains(failed, f) AS fails, failed = f AS alone,
+             NOT regexp_matches(failed, concat('[_', earlier, ']')) AS here FROM s, m),
+g AS (SELECT part, filter_order, step, f,
+             sum(CASE WHEN here AND NOT fails THEN n ELSE 0 END) AS kept,
+             sum(CASE WHEN here AND fails THEN n ELSE 0 END) AS removed,
+             sum(CASE WHEN fails AND NOT here THEN n ELSE 0 END) AS redundant,
+             sum(CASE WHEN alone THEN n ELSE 0 END) AS unique_fails,
+             sum(CASE WHEN here AND fails THEN good ELSE 0 END) AS good_lost,
+             sum(CASE WHEN here AND fails THEN toxic ELSE 0 END) AS toxic_lost FROM j GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INT) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+       CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+       CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley FROM g"""
+
+
+@query("op11_filter_audit", OP11_SQL)
+def op11_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    """What every order of five filters keeps and removes at each step, per source."""
+    return filter_audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+OP12_SQL = r"""
+WITH p AS (SELECT lang, [x FOR x IN string_split_regex(piece, '[\x20\x09]+') IF x <> ''] AS w FROM (
+             SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(text,
+                      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+             FROM documents WHERE text IS NOT NULL)),
+total AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM p GROUP BY lang),
+f AS (SELECT lang, k, phrase, count(*) AS a FROM (
+        SELECT lang, k, array_to_string(list_slice(w, i, i + k - 1), ' ') AS phrase FROM (
+          SELECT lang, k, w, unnest(range(1, len(w) - k + 2)) AS i FROM p, (VALUES (1), (2), (3)) AS t(k)))
+      GROUP BY ALL HAVING count(*) >= 10),
+c AS (SELECT lang, k, phrase, a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1),
+cuts AS (SELECT c.lang, c.phrase, c.a, j, l.a AS l, r.a AS r,
+                CAST(1000000 * CAST(c.a AS HUGEINT) * c.a // (CAST(l.a AS HUGEINT) * r.a) AS BIGINT) AS score
+         FROM (SELECT *, unnest(range(1, k)) AS j FROM c) c
+         JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(list_slice(c.ws, 1, j), ' ')
+         JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(list_slice(c.ws, j + 1, c.k), ' ')),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+longer AS (SELECT lang, phrase, max(a) AS longest FROM (
+             SELECT lang, a, array_to_string(list_slice(ws, j, j + 1), ' ') AS phrase FROM c, (VALUES (1), (2)) AS t(j) WHERE k = 3)
+           GROUP BY ALL),
+kept AS (SELECT best.*, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank
+         FROM best LEFT JOIN longer USING (lang, phrase) WHERE longest IS NULL OR 100 * longest < 50 * a)
+SELECT lang, rank, phrase, a, l, r, n, score FROM kept JOIN total USING (lang) WHERE rank <= 2000"""
+
+
+@query("op12_collocations", OP12_SQL)
+def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    """The first 2,000 phrases of each language by their weakest cut."""
+    return collocations(table(spark, folder, "documents"))
+
+
+OP13_SQL = r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -1, n, r, '<|im_end|><|im_start|>assistant ok' FROM (VALUES (0, 'user'), (1, 'assistant')) AS x(n, r)),
+e AS (SELECT *, regexp_replace(text, '<(~*)\|', '<~\1|', 'g') AS safe,
+             regexp_replace(replace(replace(role, '\', '\\'), chr(10), '\n'), '<(~*)\|', '<~\1|', 'g') AS safe_role,
+             row_number() OVER w - 1 AS nr, lag(role) OVER w AS before, lead(role) OVER w IS NULL AS is_last
+      FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+c AS (SELECT *, CASE WHEN nr = 0 THEN role IN ('system', 'user')
+                     WHEN before = 'system' THEN role = 'user' AND nr = 1
+                     WHEN before IN ('user', 'tool') THEN role = 'assistant'
+                     WHEN before = 'assistant' THEN role IN ('user', 'tool') ELSE false END AS fits FROM e)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY nr)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY nr) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(length('<|im_start|>') + length(safe_role) + 1 + length(safe) + length('<|im_end|>') + 1) AS BIGINT)
+         AS formatted_chars,
+       coalesce(bool_and(fits), false) AND bool_or(is_last AND role = 'assistant') AS valid,
+       coalesce(min(nr) FILTER (NOT fits), CASE WHEN NOT bool_or(is_last AND role = 'assistant') THEN count(*) END) AS first_error
+FROM c GROUP BY conv_id"""
+
+
+@query("op13_chat_format", OP13_SQL)
+def op13_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    """All conversations and the probe formatted, and digested from the formatted text and its mask."""
+    return read_back(formatted(with_probe(table(spark, folder, "conversations"))))
