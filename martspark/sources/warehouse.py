@@ -78,7 +78,8 @@ def recent_reports(reports: DataFrame, limit: int = 10) -> DataFrame:
 
 
 def tables_like(spark: SparkSession, schema: str, part: str) -> list[str]:
-    return [t.name for t in spark.catalog.listTables(schema) if part in t.name]
+    """Tables of a schema whose name holds ``part``; a session's temporary views belong to no schema."""
+    return [t.name for t in spark.catalog.listTables(schema) if part in t.name and not t.isTemporary]
 
 
 def table_state(spark: SparkSession, name: str, columns: list[str]) -> dict[str, bool]:
