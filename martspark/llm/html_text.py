@@ -5,8 +5,8 @@ and id tokens and those above it, its depth, its place among its siblings, and
 the density of text, links and punctuation below it. A gradient-boosted tree model
 gives each element a score for being main text.
 
-Decoding keeps ancestors and descendants consistent: an element is kept whole,
-dropped whole, or left to its children. Kept and dropped elements decide for all
+Decoding keeps ancestors and descendants consistent: a block is kept whole,
+dropped whole, or left to its children, and elements inside a line go with their block. Kept and dropped elements decide for all
 that is below them; an element left to its children gives up its own score. The
 choice with the largest sum of scores is found in one pass from the leaves up.
 
@@ -195,32 +195,48 @@ class Page:
         return out
 
     def kept(self, scores: np.ndarray) -> np.ndarray:
-        """Which elements' own text stays, for the best consistent choice."""
+        """Which elements' own text stays, for the best consistent choice.
+
+        Blocks decide: an element inside a line shares the fate of the block around it,
+        whose text its words are part of.
+        """
         n = len(self.tags)
-        keep, drop, children = scores.astype(float).copy(), np.zeros(n), np.zeros(n)
-        own = np.where(self.own > 0, np.maximum(scores, 0), 0.0)
-        best = np.zeros(n)
+        block, never = np.zeros(n, int), np.zeros(n, bool)
+        own_text = self.own > 0
+        for k in range(1, n):
+            up = self.parents[k]
+            never[k] = never[up] or self.tags[k] in NEVER
+            block[k] = k if self.tags[k] in BLOCKS or self.tags[k] in NEVER else block[up]
+            if block[k] != k and own_text[k]:
+                own_text[block[k]] = True
+        above = [block[self.parents[k]] if k else -1 for k in range(n)]
+        keep, children, best = scores.astype(float).copy(), np.zeros(n), np.zeros(n)
+        own = np.where(own_text, np.maximum(scores, 0), 0.0)
         for k in range(n - 1, -1, -1):
+            if block[k] != k:
+                continue
             split = own[k] + children[k]
-            if self.tags[k] in NEVER:
+            if never[k]:
                 keep[k] = split = 0.0
-            best[k] = max(keep[k], drop[k], split)
+            best[k] = max(keep[k], 0.0, split)
             if k:
-                p = self.parents[k]
-                keep[p] += keep[k]
-                children[p] += best[k]
+                keep[above[k]] += keep[k]
+                children[above[k]] += best[k]
         state = np.zeros(n, np.int8)  # 1 keep, -1 drop, 0 left to the children
         for k in range(n):
-            above = state[self.parents[k]] if k else 0
-            if self.tags[k] in NEVER:
+            if block[k] != k:
+                continue
+            over = state[above[k]] if k else 0
+            if never[k]:
                 state[k] = -1
-            elif above:
-                state[k] = above
+            elif over:
+                state[k] = over
             elif keep[k] >= best[k] and keep[k] > 0:
                 state[k] = 1
             elif best[k] <= 0:
                 state[k] = -1
-        return (state == 1) | ((state == 0) & (scores > 0))
+        stays = (state == 1) | ((state == 0) & (scores > 0))
+        return stays[block]
 
     def text(self, kept: np.ndarray) -> str:
         blocks, parts = [], []

@@ -2,11 +2,12 @@
 
 Everything is a column expression. Per language two references are computed from
 all documents: the share of each character class, and the shares of the language's
-``COMMON_WORDS`` most frequent short words beside all other words. A document is
+``COMMON_WORDS`` most frequent words beside all other words. A document is
 compared with its language by the Jensen-Shannon distance (base 2, between 0 and 1)
 of both histograms. Each comparison has a minimum-length guard: a short document
 is not judged by a histogram it cannot fill, and a language seen in fewer than
-``MIN_REFERENCE_WORDS`` words judges nobody.
+``MIN_REFERENCE_WORDS`` words judges nobody. A language in which no word is common has the
+empty list of them: only its character reference tells documents apart.
 
 Defined results: a missing text counts as empty (no words, base rule failed); a
 missing language is the language of the empty name; rows with equal or missing ids
@@ -25,7 +26,6 @@ from martspark.llm.common import ROW, packed, unpacked
 from martspark.session import written
 
 COMMON_WORDS = 16
-COMMON_WORD_CHARS = 6  # function words are short; longer words never enter a reference
 COMMON_WORD_SHARE = 1000  # a common word makes up at least one word in so many, so candidates are as few at most
 MIN_REFERENCE_WORDS = 1000
 MIN_WORDS = 50
@@ -36,6 +36,9 @@ MAX_WORD_DISTANCE = 0.30
 MAX_REPEAT_PERCENT = 50
 BROADCAST_LANGUAGES = 20_000  # a reference is under 2 KB, so this many are under 40 MB
 
+VERDICT = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance",
+           "word_distance"]
+
 SEPARATOR = r"[\x20\x09-\x0D]+"
 SEPARATORS = " \t\n\x0b\f\r"
 # Character classes in the order in which they are taken out of the text; what is left is the last class.
@@ -67,16 +70,15 @@ def references(texts: DataFrame) -> DataFrame:
     sends a few counts per task.
     """
     words = texts.select("lang", F.explode(words_of(F.col("text"))).alias("word"))
-    short = (F.length("word") <= COMMON_WORD_CHARS) & ~F.col("word").rlike(CLASSES[SYMBOLS])
-    counts = written(words.groupBy("lang", F.when(short, F.col("word")).alias("word")).agg(F.count("*").alias("n")),
-                     "word-counts")
+    counts = written(words.groupBy("lang", "word").agg(F.count("*").alias("n")), "word-counts")
     totals = counts.groupBy("lang").agg(F.sum("n").alias("n_words"))
-    frequent = counts.filter("word is not null").join(totals, "lang").filter(F.col("n") * COMMON_WORD_SHARE >= F.col("n_words"))
+    frequent = counts.join(totals, "lang").filter(F.col("n") * COMMON_WORD_SHARE >= F.col("n_words"))
     listed = frequent.groupBy("lang").agg(
         F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("minus_n"), "word"))).alias("by_count"))
     top = F.slice("by_count", 1, COMMON_WORDS)
     n_other = F.col("n_words") + F.aggregate(top, F.lit(0).cast("long"), lambda s, x: s + x["minus_n"])
-    words_side = totals.join(listed, "lang").select(
+    words_side = totals.join(listed, "lang", "left").withColumn(
+        "by_count", F.coalesce("by_count", F.array().cast("array<struct<minus_n:bigint,word:string>>"))).select(
         "lang", "n_words", F.transform(top, lambda x: x["word"]).alias("common"),
         F.transform(F.concat(F.transform(top, lambda x: -x["minus_n"]), F.array(n_other)),
                     lambda n: n / F.col("n_words")).alias("word_shares"))
@@ -140,7 +142,7 @@ def judged(docs: DataFrame, refs: DataFrame | None = None) -> DataFrame:
     rows = with_base_counts(with_class_counts(packed(docs, **texts))).join(refs, "lang", "left")
     found = F.transform("words", lambda w: F.array_position("common", w))
     rows = rows.withColumn("found", F.filter(found, lambda k: k > 0)).withColumn("word_counts", F.concat(
-        F.transform(F.sequence(F.lit(1), F.size("common")), lambda k: F.size(F.filter("found", lambda f: f == k)).cast("long")),
+        F.transform("common", lambda _, at: F.size(F.filter("found", lambda f: f == at + 1)).cast("long")),
         F.array(F.col("n_words") - F.size("found"))))
     rows = rows.withColumns({
         "char_distance": jensen_shannon(F.col("class_counts"), F.col("class_shares")),
@@ -150,9 +152,11 @@ def judged(docs: DataFrame, refs: DataFrame | None = None) -> DataFrame:
     })
     strange = ((F.col("n_words") >= MIN_WORDS_FOR_CHARS) & (F.col("char_distance") > MAX_CHAR_DISTANCE)) | (
         (F.col("n_words") >= MIN_WORDS_FOR_WORDS) & (F.col("word_distance") > MAX_WORD_DISTANCE))
-    return rows.select(ROW, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-                       (~F.col("base_failed") & ~F.coalesce(strange, F.lit(False))).alias("kept"),
-                       "char_distance", "word_distance")
+    rows = rows.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(strange, F.lit(False)))
+    # A row number is never negative, but its expression may be evaluated only once per row: the optimizer leaves
+    # the verdict as it stands, instead of unfolding it into every filter and column above.
+    verdict = F.when(F.monotonically_increasing_id() >= 0, F.struct(*VERDICT))
+    return rows.select(ROW, verdict.alias("_verdict")).select(ROW, *(F.col(f"_verdict.{name}").alias(name) for name in VERDICT))
 
 
 def quality_verdicts(docs: DataFrame) -> DataFrame:
@@ -163,10 +167,5 @@ def quality_verdicts(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows that pass, with their own columns.
-
-    The filter names a row number: over it the optimizer leaves the filter where
-    it is, instead of unfolding the verdict's expression at every step below.
-    """
-    rows = judged(docs).withColumn("_number", F.monotonically_increasing_id())
-    return unpacked(rows.filter(F.col("kept") & (F.col("_number") >= 0)), docs.columns)
+    """The rows that pass, with their own columns."""
+    return unpacked(judged(docs).filter("kept"), docs.columns)

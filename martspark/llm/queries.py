@@ -63,17 +63,17 @@ k AS (SELECT *, [CAST(length(regexp_replace(text, p, '', 'g')) AS BIGINT)
                  FOR p IN ['[^a-z]+', '[^\x20\x09-\x0D]+', '[^A-Z]+', '[^.,;:!?''"()-]+', '[^#*$%&|<>]+', '[^0-9]+']] AS k6
       FROM w),
 c AS (SELECT *, list_append(k6, CAST(length(text) - list_sum(k6) AS BIGINT)) AS classes FROM k),
-counts AS (SELECT lang, CASE WHEN length(word) <= 6 AND NOT regexp_matches(word, '[#*$%&|<>]') THEN word END AS word,
-                  count(*) AS n FROM (SELECT lang, unnest(words) AS word FROM w) GROUP BY ALL),
+counts AS (SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest(words) AS word FROM w) GROUP BY ALL),
 totals AS (SELECT lang, sum(n) AS n_words FROM counts GROUP BY lang HAVING sum(n) >= 1000),
 ranked AS (SELECT lang, word, n, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS r
-           FROM counts JOIN totals USING (lang) WHERE word IS NOT NULL AND n * 1000 >= n_words),
+           FROM counts JOIN totals USING (lang) WHERE n * 1000 >= n_words),
 word_refs AS (SELECT lang, list(word ORDER BY r) AS common, list(n ORDER BY r) AS ns FROM ranked WHERE r <= 16 GROUP BY lang),
 class_refs AS (SELECT lang, list(CAST(s AS DOUBLE) ORDER BY j) AS cs FROM (
                  SELECT lang, j, sum(classes[j]) AS s FROM c, range(1, 8) AS t(j) GROUP BY ALL) GROUP BY lang),
-refs AS (SELECT lang, common, [x / n_words FOR x IN list_append(ns, n_words - list_sum(ns))] AS word_q,
+refs AS (SELECT lang, coalesce(common, []) AS common,
+                [x / n_words FOR x IN list_append(coalesce(ns, []), n_words - coalesce(list_sum(ns), 0))] AS word_q,
                 [x / list_sum(cs) FOR x IN cs] AS class_q
-         FROM totals JOIN word_refs USING (lang) JOIN class_refs USING (lang)),
+         FROM totals LEFT JOIN word_refs USING (lang) JOIN class_refs USING (lang)),
 spots AS (SELECT DISTINCT doc_id, pos + s AS pos FROM (
             SELECT doc_id, pos, count(*) OVER (PARTITION BY doc_id, win) AS n FROM (
               SELECT doc_id, pos, list_slice(words, pos, pos + 2) AS win
@@ -86,7 +86,7 @@ f AS (SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, length(text) - class
              [len([x FOR x IN words IF x = y]) / nullif(len(words), 0) FOR y IN common] AS common_p,
       FROM (SELECT *, [x FOR x IN string_split(text, chr(10)) IF regexp_matches(x, '[^\x20\x09-\x0D]')] AS good FROM c)
       LEFT JOIN rep USING (doc_id) LEFT JOIN refs USING (lang)),
-g AS (SELECT *, list_append(common_p, 1 - list_sum(common_p)) AS word_p FROM f),
+g AS (SELECT *, list_append(common_p, 1 - coalesce(list_sum(common_p), 0)) AS word_p FROM f),
 j AS (SELECT *, [CASE WHEN class_p[i] > 0 THEN class_p[i] * log2(2 * class_p[i] / (class_p[i] + class_q[i])) ELSE 0 END
                  + CASE WHEN class_q[i] > 0 THEN class_q[i] * log2(2 * class_q[i] / (class_p[i] + class_q[i])) ELSE 0 END
                  FOR i IN range(1, len(class_q) + 1)] AS cj,

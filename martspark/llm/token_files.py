@@ -128,13 +128,12 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, length: int =
         doc_ids: list = []
         counts: list[int] = []
         for frame in frames:
-            for doc_id, text in zip(frame.column(0).to_pylist(), frame.column(1)):
+            doc_ids += frame.column(0).to_pylist()
+            for ids, sizes in encode_ids.batch(frame.column(1)):
                 if writer is None:
                     writer = _ShardWriter(out, f"{base}/{name}.arrow", length, narrow)
-                ids = np.frombuffer(encode_ids.ids(text.as_py()), dtype="<u4")
-                writer.add(np.append(ids, np.uint32(end_id)))
-                doc_ids.append(doc_id)
-                counts.append(len(ids) + 1)
+                writer.add(np.insert(ids, np.cumsum(sizes), np.uint32(end_id)))
+                counts += (sizes + 1).tolist()
         if writer is None:
             return
         writer.close()

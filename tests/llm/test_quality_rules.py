@@ -49,3 +49,27 @@ def test_documents_and_rejections(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string")
     assert quality_verdicts(docs).count() == 0 and keep_good(docs).count() == 0
+
+
+def test_verdicts_can_be_filtered(spark):
+    """A filter over the verdict is as quick as the verdict: it is not unfolded through the counts below it."""
+    import time
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    start = time.time()
+    kept = {r.doc_id for r in quality_verdicts(docs).filter("kept and word_distance < 0.5 and n_symbols >= 0").select("doc_id").collect()}
+    assert time.time() - start < 60
+    assert kept == {r.doc_id for r in quality_verdicts(docs).collect() if r.kept and r.word_distance < 0.5}
+
+
+def test_long_common_words_and_languages_without_any(spark):
+    """Words of any length are references; a language without a common word is still judged by its characters."""
+    common = "constantinople otherwise# "
+    rows = [(k, common * 10 + " ".join(f"w{k}x{j}" for j in range(100)), "aa", "s") for k in range(20)]
+    rows += [(100 + k, " ".join(f"q{chr(97 + j % 26)}{chr(97 + k)}{chr(97 + j // 26)}" for j in range(200)), "bb", "s") for k in range(20)]
+    rows += [(200, " ".join(f"{j}9481{j}" for j in range(200)), "bb", "s"), (201, " ".join(f"z{j}y" for j in range(200)), "aa", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, words string")
+    got = {r.doc_id: r for r in quality_verdicts(docs).collect()}
+    assert got[200].char_distance > 0.3 and not got[200].kept and got[200].word_distance == 0.0
+    assert got[100].kept and got[0].kept
+    assert got[201].word_distance > 0.2 > got[0].word_distance

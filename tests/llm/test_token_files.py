@@ -69,3 +69,25 @@ def test_edge_rows_and_sequences(spark, tmp_path):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert token_digests(docs, default_tokenizer()).count() == 0
+
+
+def test_batches_give_the_library_s_ids(monkeypatch):
+    """Odd white space, marks, long texts and a cache without room: ids as from the library, text by text."""
+    import random
+
+    import pyarrow as pa
+
+    from martspark.llm import bpe
+
+    rng = random.Random(1)
+    texts = [None, "", " ", "  ", "a  b", " a", "a ", "x\n y", "x \n y", "a \x85b c", "a 　b", "don't. can't, won't! (a)", "b" * 100_000,
+             "one two. " * 20_000]
+    texts += ["".join(rng.choice(" \n\t\x0b\x85 　ab.,é'😀\x1d") for _ in range(40)) for _ in range(800)]
+    for bound, size in ((1_500_000, 8 << 20), (3, 1 << 10)):
+        monkeypatch.setattr(bpe, "KEPT_SEGMENTS", bound)
+        monkeypatch.setattr(bpe, "SLICE_BYTES", size)
+        encode = bpe.Encoder(bpe.default_tokenizer())
+        expected = [e.ids for e in encode.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+        got = [ids for flat, n in encode.batch(pa.array(texts)) for ids in np.split(flat, np.cumsum(n)[:-1])]
+        assert [ids.tolist() for ids in got] == expected
+        assert b"".join(encode.pieces(texts[-1])[1]) == np.array(expected[-1], "<u4").tobytes()
