@@ -26,6 +26,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 KEPT_SEGMENTS = 1_500_000
+RECENT_SEGMENTS, RECENT_LENGTH = 150_000, 64
 SLICE_BYTES = 8 << 20
 MARKS = ".,;:!?"
 
@@ -88,6 +89,8 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kept = _Kept()
+        self.newer: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _learn(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of ids of all pieces, and the ids."""
@@ -117,11 +120,24 @@ class Encoder:
         return np.concatenate([self.kept.pool[:self.kept.n_ids], ids]), start, size
 
     def of_pieces(self, pieces: list[str]) -> list[bytes]:
-        """Ids of each piece."""
-        distinct = list(dict.fromkeys(pieces))
-        pool, start, size = self.of_distinct(distinct)
-        own = {piece: pool[a:a + n].tobytes() for piece, a, n in zip(distinct, start.tolist(), size.tolist())}
-        return [own[piece] for piece in pieces]
+        """Ids of the pieces of a single text, from a table of recent pieces of its own.
+
+        It has two generations: when the newer is full it becomes the older, and a piece
+        that is asked for again moves up.
+        """
+        ids = list(map(self.newer.get, pieces))
+        if None not in ids:
+            return ids
+        fresh = {piece: self.older.get(piece) for piece in {p for p, found in zip(pieces, ids) if found is None}}
+        missing = [piece for piece, found in fresh.items() if found is None]
+        encoded = self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)
+        fresh.update((piece, array("I", e.ids).tobytes()) for piece, e in zip(missing, encoded))
+        for piece, found in fresh.items():
+            if len(self.newer) >= RECENT_SEGMENTS:
+                self.older, self.newer = self.newer, {}
+            if len(piece) <= RECENT_LENGTH:
+                self.newer[piece] = found
+        return [fresh[piece] if found is None else found for piece, found in zip(pieces, ids)]
 
     def pieces(self, text: str) -> tuple[list[str], list[bytes]]:
         """The text's segments and the ids of each."""
