@@ -19,6 +19,7 @@ import os
 import re
 from array import array
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -26,7 +27,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 KEPT_SEGMENTS = 1_500_000
-RECENT_SEGMENTS, RECENT_LENGTH = 150_000, 64
+SINGLE_SEGMENTS, SINGLE_LENGTH = 250_000, 64
 SLICE_BYTES = 8 << 20
 MARKS = ".,;:!?"
 
@@ -89,8 +90,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kept = _Kept()
-        self.newer: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
 
     def _learn(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of ids of all pieces, and the ids."""
@@ -120,24 +120,28 @@ class Encoder:
         return np.concatenate([self.kept.pool[:self.kept.n_ids], ids]), start, size
 
     def of_pieces(self, pieces: list[str]) -> list[bytes]:
-        """Ids of the pieces of a single text, from a table of recent pieces of its own.
-
-        It has two generations: when the newer is full it becomes the older, and a piece
-        that is asked for again moves up.
-        """
-        ids = list(map(self.newer.get, pieces))
-        if None not in ids:
-            return ids
-        fresh = {piece: self.older.get(piece) for piece in {p for p, found in zip(pieces, ids) if found is None}}
-        missing = [piece for piece, found in fresh.items() if found is None]
-        encoded = self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)
-        fresh.update((piece, array("I", e.ids).tobytes()) for piece, e in zip(missing, encoded))
-        for piece, found in fresh.items():
-            if len(self.newer) >= RECENT_SEGMENTS:
-                self.older, self.newer = self.newer, {}
-            if len(piece) <= RECENT_LENGTH:
-                self.newer[piece] = found
-        return [fresh[piece] if found is None else found for piece, found in zip(pieces, ids)]
+        """Ids of the pieces of a single text; the first ``SINGLE_SEGMENTS`` short ones are kept in a table of their own."""
+        known = self.known
+        ids = list(map(known.get, pieces))
+        if None in ids:
+            fresh = self._missing({piece for piece, found in zip(pieces, ids) if found is None})
+            ids = [fresh[piece] if found is None else found for piece, found in zip(pieces, ids)]
+            room = SINGLE_SEGMENTS - len(known)
+            if room > 0:
+                known.update(islice(((p, v) for p, v in fresh.items() if len(p) <= SINGLE_LENGTH), room))
+        return ids
+
+    def _missing(self, pieces: set[str]) -> dict[str, bytes]:
+        """Ids of pieces that are not kept; letters with one mark behind are put together from both."""
+        known = self.known
+        parts = {p: (p[:-1], p[-1]) for p in pieces if p[-1] in MARKS and p[0] == " " and p[1:-1].isalpha()}
+        wanted = [p for p in pieces if p not in parts]
+        wanted += {part for pair in parts.values() for part in pair if part not in known}.difference(pieces)
+        encoded = self.tokenizer.encode_batch_fast(wanted, add_special_tokens=False)
+        fresh = {piece: array("I", e.ids).tobytes() for piece, e in zip(wanted, encoded)}
+        for piece, (word, mark) in parts.items():
+            fresh[piece] = (known.get(word) or fresh[word]) + (known.get(mark) or fresh[mark])
+        return fresh
 
     def pieces(self, text: str) -> tuple[list[str], list[bytes]]:
         """The text's segments and the ids of each."""
