@@ -71,6 +71,59 @@ def item_features(
     )
 
 
+def sparse_item_features(sales: DataFrame, history_from: str = HISTORY_FROM, output_from: str = OUTPUT_FROM) -> DataFrame:
+    """The features of ``item_features`` for the days on which a series sold, without its days of zero.
+
+    Most products do not sell in a store on most days. Here a series holds its sales days
+    only and a gap is a run of zeros: frames reach back by days instead of rows, a lag is what
+    was sold exactly so many days before, and sums are divided by the days of the frame. The
+    price of a day without a sale is the last known one; its trailing mean is the difference
+    of two running sums of price times days. The number of rows is the number of sales days.
+
+    ``sales`` has SERIES, ``date``, ``unit_sales`` and ``revenue``, any number of rows per day. Rows
+    without a store, an item or a date belong to no series and are left out.
+    """
+    day = F.datediff(F.to_date("date"), F.lit("1970-01-01").cast("date"))
+    daily = (
+        sales.filter(F.col("date") >= F.lit(history_from).cast("timestamp")).dropna(subset=SERIES)
+        .groupBy(*SERIES, F.to_date("date").alias("sale_date"), day.alias("_day"))
+        .agg(F.sum("unit_sales").cast("double").alias("unit_sales"), F.sum("revenue").alias("_money"))
+        .withColumn("sell_price", F.col("_money") / F.nullif(F.col("unit_sales"), F.lit(0.0)))
+    )
+    by_day = Window.partitionBy(*SERIES).orderBy("_day")
+    frame = lambda n, end=1: by_day.rangeBetween(-n, -end)
+    age = F.col("_day") - F.min("_day").over(by_day.rangeBetween(Window.unboundedPreceding, 0))
+    known = F.last("sell_price", ignorenulls=True).over(by_day.rangeBetween(Window.unboundedPreceding, 0))
+    rows = daily.withColumns({"_age": age, "sell_price": known})
+    gap = F.col("_day") - F.lag("_day", 1).over(by_day)
+    rows = rows.withColumn("_held", F.coalesce(F.lag("sell_price", 1).over(by_day) * gap, F.lit(0.0)))
+    rows = rows.withColumn("_paid", F.sum("_held").over(by_day.rowsBetween(Window.unboundedPreceding, 0)))
+
+    def total(column: Column, n: int) -> Column:
+        return F.coalesce(F.sum(column).over(frame(n)), F.lit(0.0))
+
+    units, columns = F.col("unit_sales"), {}
+    for n in UNIT_LAGS:
+        columns[f"units_lag_{n}"] = F.when(F.col("_age") >= n, F.coalesce(F.sum(units).over(frame(n, n)), F.lit(0.0)))
+    for n in PRICE_LAGS:
+        columns[f"price_lag_{n}"] = F.last("sell_price").over(by_day.rangeBetween(Window.unboundedPreceding, -n))
+    for n in MEAN_ROWS:
+        columns[f"units_roll_mean_{n}"] = total(units, n) / F.nullif(F.least(F.lit(n), F.col("_age")), F.lit(0))
+    for n in STD_ROWS:
+        days = F.least(F.lit(n), F.col("_age"))
+        around = total(units * units, n) - total(units, n) ** 2 / F.nullif(days, F.lit(0))
+        columns[f"units_roll_std_{n}"] = F.when(days > 1, F.sqrt(F.greatest(around, F.lit(0.0)) / (days - 1)))
+    before = F.last(F.struct("_paid", "sell_price", "_day")).over(by_day.rangeBetween(Window.unboundedPreceding, -7))
+    paid = before["_paid"] + before["sell_price"] * (F.col("_day") - 7 - before["_day"])
+    columns["price_roll_mean_7"] = (F.col("_paid") - F.coalesce(paid, F.lit(0.0))) / F.nullif(
+        F.least(F.lit(7), F.col("_age")), F.lit(0))
+    columns["units_expanding_mean"] = F.sum(units).over(
+        by_day.rangeBetween(Window.unboundedPreceding, -1)) / F.nullif(F.col("_age"), F.lit(0))
+    return rows.withColumns(columns).withColumns(calendar_columns(F.col("sale_date"))).filter(
+        (F.col("sale_date") >= F.lit(output_from).cast("date")) & F.col("units_lag_364").isNotNull()
+    ).drop("_day", "_age", "_money", "_held", "_paid")
+
+
 def feature_columns(features: DataFrame) -> list[str]:
     """Every column but the target, the date and the raw price and benefit flags."""
     return [c for c in features.columns if c not in NOT_FEATURES]

@@ -13,7 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from martspark.functions.numeric import stable_round
-from martspark.operators.features import CATEGORIES, SERIES, encoded, feature_columns, label_codes
+from martspark.operators.features import (
+    CATEGORIES, MEAN_ROWS, PRICE_LAGS, SERIES, STD_ROWS, UNIT_LAGS, encoded, feature_columns, label_codes,
+)
 from martspark.plans.analytics import within
 from martspark.session import written
 
@@ -37,6 +39,7 @@ VARIANCE_POWER = 1.5
 MIN_SCALE = 0.1
 HORIZON, MAX_HORIZON = 28, 56
 HISTORY_ROWS = 364
+BLOCK_SERIES = 2048
 
 
 def between_dates(df: DataFrame, start: str, end: str) -> DataFrame:
@@ -116,6 +119,12 @@ class DemandModel:
         scored = self.stages.transform(ready).drop("_raw", "_scaled")
         return scored.withColumn("prediction", F.greatest(F.col("prediction"), F.lit(0.0)))
 
+    def predictor(self) -> "LinearPredictor":
+        fitted, scaler = self.stages.stages[-1], self.stages.stages[1]
+        std = scaler.std.toArray()
+        slope = fitted.coefficients.toArray() * np.where(std > 0, 1.0 / np.where(std > 0, std, 1.0), 0.0)
+        return LinearPredictor(float(fitted.intercept - (scaler.mean.toArray() * slope).sum()), slope)
+
     def save(self, path: str) -> None:
         self.stages.write().overwrite().save(f"{path}/stages")
         for column, table in self.codes.items():
@@ -249,7 +258,7 @@ FORECAST_SCHEMA = (
 )
 
 
-def forecast_inputs(model: DemandModel, features: DataFrame) -> DataFrame:
+def forecast_inputs(model, features: DataFrame) -> DataFrame:
     """The last 364 rows of each series with codes and the totals behind the expanding mean.
 
     The totals are aggregated apart, so a series' task receives 364 rows however
@@ -262,78 +271,154 @@ def forecast_inputs(model: DemandModel, features: DataFrame) -> DataFrame:
     return model.coded(recent.join(totals, SERIES))
 
 
-def forecast_all(model: DemandModel, features: DataFrame, history: DataFrame, horizon: int = HORIZON) -> DataFrame:
+@dataclass(frozen=True)
+class LinearPredictor:
+    """``exp`` of a weighted sum of the inputs, for a matrix with a row per series."""
+
+    intercept: float
+    slope: np.ndarray
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        return np.exp(np.clip(self.intercept + x @ self.slope, -50.0, 50.0))
+
+
+@dataclass
+class FixedDemand:
+    """A model whose weights are given, not fitted."""
+
+    intercept: float
+    weights: dict[str, float]
+
+    @property
+    def inputs(self) -> list[str]:
+        return list(self.weights)
+
+    def coded(self, features: DataFrame) -> DataFrame:
+        return features
+
+    def predictor(self) -> LinearPredictor:
+        return LinearPredictor(self.intercept, np.array(list(self.weights.values())))
+
+
+class SeriesBlock:
+    """The recent rows of many series as matrices, one row per series, and the inputs of their next day.
+
+    Days are columns: the newest is the last filled one, a series with a shorter past has zeros
+    before it. A new day is written into the next column, so nothing moves.
+    """
+
+    def __init__(self, rows: pd.DataFrame, horizon: int):
+        rows = rows.sort_values([*SERIES, "sale_date"], ignore_index=True)
+        number = rows.groupby(SERIES, sort=False).ngroup().to_numpy()
+        counts = np.bincount(number)
+        ends = np.cumsum(counts)
+        column = HISTORY_ROWS - ends[number] + np.arange(len(rows))
+        self.units, self.prices = (np.zeros((len(counts), HISTORY_ROWS + horizon)) for _ in range(2))
+        self.units[number, column] = rows["unit_sales"].to_numpy(float)
+        self.prices[number, column] = rows["sell_price"].to_numpy(float)
+        self.last = rows.iloc[ends - 1]
+        self.rows, self.at = counts, HISTORY_ROWS
+        self.days = self.last["sale_date"].to_numpy().astype("datetime64[D]")
+        self.seen = self.last["_seen"].to_numpy(float)
+        mean = np.nan_to_num(self.last["_mean"].to_numpy(float))
+        self.total = mean * (self.seen - 1) + self.units[:, self.at - 1]
+
+    def back(self, values: np.ndarray, n: int) -> np.ndarray:
+        return np.where(self.rows >= n, values[:, self.at - n], 0.0)
+
+    def mean(self, values: np.ndarray, n: int) -> np.ndarray:
+        return values[:, self.at - n:self.at].sum(axis=1) / np.minimum(self.rows, n)
+
+    def spread(self, n: int) -> np.ndarray:
+        used = np.minimum(self.rows, n)
+        off = (self.units[:, self.at - n:self.at] - self.mean(self.units, n)[:, None]) * (np.arange(n, 0, -1) <= used[:, None])
+        return np.where(used > 1, np.sqrt((off ** 2).sum(axis=1) / np.maximum(used - 1, 1)), 0.0)
+
+    def inputs(self, names: list[str]) -> np.ndarray:
+        """Inputs of the day after the newest, by the training definitions, in the order of ``names``."""
+        day = pd.DatetimeIndex((self.days + 1).astype("datetime64[ns]"))
+        sunday_first = (day.dayofweek.to_numpy() + 1) % 7
+        values = {f"units_lag_{n}": lambda n=n: self.back(self.units, n) for n in UNIT_LAGS}
+        values |= {f"price_lag_{n}": lambda n=n: self.back(self.prices, n) for n in PRICE_LAGS}
+        values |= {f"units_roll_mean_{n}": lambda n=n: self.mean(self.units, n) for n in MEAN_ROWS}
+        values |= {f"units_roll_std_{n}": lambda n=n: self.spread(n) for n in STD_ROWS}
+        values |= {
+            "price_roll_mean_7": lambda: self.mean(self.prices, 7),
+            "units_expanding_mean": lambda: self.total / self.seen,
+            "day_of_week": lambda: sunday_first,
+            "day_of_month": lambda: day.day.to_numpy(),
+            "week_of_year": lambda: day.isocalendar().week.to_numpy(),
+            "month": lambda: day.month.to_numpy(),
+            "year": lambda: day.year.to_numpy(),
+            "is_weekend": lambda: np.isin(sunday_first, (0, 6)),
+            "is_month_start": lambda: day.day.to_numpy() <= 3,
+            "is_month_end": lambda: day.day.to_numpy() >= 28,
+        }
+        nothing = np.zeros(len(self.rows))  # future days carry no event or benefit flag
+        columns = [self.last[c].to_numpy(float) if c.endswith("_code") else values.get(c, lambda: nothing)() for c in names]
+        return np.column_stack([np.asarray(c, dtype=float) for c in columns])
+
+    def advance(self, units: np.ndarray) -> None:
+        """Take the predictions as the next day; the price stays."""
+        self.units[:, self.at], self.prices[:, self.at] = units, self.prices[:, self.at - 1]
+        self.total, self.seen = self.total + units, self.seen + 1
+        self.days, self.rows, self.at = self.days + 1, self.rows + 1, self.at + 1
+
+
+def forecast_all(model, features: DataFrame, history: DataFrame, horizon: int = HORIZON,
+                 block_series: int = BLOCK_SERIES) -> DataFrame:
     """Recursive daily forecast of every series: each step feeds the next one's lags.
 
+    Series are dealt into hashed blocks of about ``block_series``; a task advances a whole
+    block day by day, so the model is asked once per block and day with one row per series.
     Calendar, lag and rolling inputs follow the training definitions at every
     step; the price stays at its last value and future days carry no event or
     benefit flag. ``history`` gives all rows seen per series (columns of SERIES
     plus ``rows``), which weigh the expanding mean.
     """
     within(horizon, 1, MAX_HORIZON, "horizon")
-    fitted = model.stages.stages[-1]
-    scaler = model.stages.stages[1]
-    std = scaler.std.toArray()
-    inverse = np.where(std > 0, 1.0 / np.where(std > 0, std, 1.0), 0.0)
-    slope = fitted.coefficients.toArray() * inverse
-    intercept = float(fitted.intercept - (scaler.mean.toArray() * slope).sum())
-    inputs = list(model.inputs)
-
-    def roll(key, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("sale_date")
-        last = rows.iloc[-1]
-        units = [float(x) for x in rows["unit_sales"]]
-        prices = [float(x) for x in rows["sell_price"]]
-        seen = float(last["_seen"])
-        total = float(last["_last"]["units_expanding_mean"] or 0.0) * (seen - 1) + units[-1]
-        fixed = {c: float(last[c]) for c in inputs if c.endswith("_code")}
-        out = []
+    predict, inputs = model.predictor(), list(model.inputs)
+    blocks = max(1, -(-history.count() // block_series))
+
+    def roll(rows: pd.DataFrame) -> pd.DataFrame:
+        block = SeriesBlock(rows, horizon)
+        parts = []
         for step in range(1, horizon + 1):
-            day = pd.Timestamp(last["sale_date"]) + pd.Timedelta(days=step)
-            values = next_day_inputs(units, prices, total / seen, day) | fixed
-            x = np.array([values[c] for c in inputs])
-            predicted = max(float(np.exp(np.clip(intercept + x @ slope, -50.0, 50.0))), 0.0)
-            out.append((step, day.date(), round(predicted, 2)))
-            units.append(predicted)
-            prices.append(prices[-1])
-            total, seen = total + predicted, seen + 1
-        frame = pd.DataFrame(out, columns=["step", "forecast_date", "forecast"])
-        frame["store_id"], frame["item_id"], frame["horizon"] = key[0], key[1], horizon
-        frame["total_forecast_units"] = round(float(frame["forecast"].sum()), 1)
-        frame["error"] = None
-        return frame[["store_id", "item_id", "horizon", "step", "forecast_date", "forecast", "total_forecast_units", "error"]]
+            units = np.maximum(predict(block.inputs(inputs)), 0.0)
+            block.advance(units)
+            parts.append(pd.DataFrame({"store_id": block.last["store_id"].to_numpy(), "item_id": block.last["item_id"].to_numpy(),
+                                       "horizon": horizon, "step": step, "forecast_date": block.days.astype("datetime64[ns]"),
+                                       "forecast": np.round(units, 2)}))
+        out = pd.concat(parts)
+        out["forecast_date"] = out["forecast_date"].dt.date
+        out["total_forecast_units"] = out.groupby(SERIES)["forecast"].transform("sum").round(1)
+        return out.assign(error=None)
 
     seen = history.select(*SERIES, F.col("rows").alias("_seen"))
-    ready = forecast_inputs(model, features).join(seen, SERIES)
-    needed = [*SERIES, "sale_date", "unit_sales", "sell_price", "_last", "_seen", *[c for c in inputs if c.endswith("_code")]]
-    return ready.select(*needed).groupBy(*SERIES).applyInPandas(roll, FORECAST_SCHEMA)
-
-
-def next_day_inputs(units: list[float], prices: list[float], expanding_mean: float, day: pd.Timestamp) -> dict[str, float]:
-    """Inputs of the day after the given history, by the training definitions."""
-    back = lambda values, n: values[-n] if len(values) >= n else 0.0
-    spread = lambda n: float(np.std(units[-n:], ddof=1)) if len(units[-n:]) > 1 else 0.0
-    sunday_first = (day.dayofweek + 1) % 7
-    values = {f"units_lag_{n}": back(units, n) for n in (1, 7, 14, 28, 364)}
-    values |= {f"price_lag_{n}": back(prices, n) for n in (1, 7)}
-    values |= {f"units_roll_mean_{n}": float(np.mean(units[-n:])) for n in (7, 14, 28)}
-    values |= {f"units_roll_std_{n}": spread(n) for n in (7, 28)}
-    values |= {
-        "price_roll_mean_7": float(np.mean(prices[-7:])),
-        "units_expanding_mean": expanding_mean,
-        "day_of_week": sunday_first,
-        "day_of_month": day.day,
-        "week_of_year": day.isocalendar()[1],
-        "month": day.month,
-        "year": day.year,
-        "is_weekend": int(sunday_first in (0, 6)),
-        "is_month_start": int(day.day <= 3),
-        "is_month_end": int(day.day >= 28),
-        "is_event": 0,
-        "event_type": 0,
-        "is_snap": 0,
-    }
-    return {name: float(value) for name, value in values.items()}
+    ready = forecast_inputs(model, features).join(seen, SERIES).withColumns({
+        "_mean": F.col("_last.units_expanding_mean"), "_block": F.pmod(F.xxhash64(*SERIES), F.lit(blocks))})
+    codes = [c for c in inputs if c.endswith("_code")]
+    needed = ["_block", *SERIES, "sale_date", "unit_sales", "sell_price", "_mean", "_seen", *codes]
+    return ready.select(*needed).groupBy("_block").applyInPandas(roll, FORECAST_SCHEMA)
+
+
+FORECAST_FOLDERS = ["horizon", "store_id"]
+
+
+def store_forecasts(forecasts: DataFrame, path: str) -> None:
+    """Forecasts in a folder per horizon and store; a run replaces the folders it has rows for."""
+    forecasts.repartition(*FORECAST_FOLDERS).sortWithinPartitions("item_id", "step").write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic").partitionBy(*FORECAST_FOLDERS).parquet(path)
+
+
+def stored_forecast(stored: DataFrame, requested: DataFrame, horizon: int) -> DataFrame:
+    """Rows of the asked series and horizon from ``store_forecasts``; nothing is forecast when asked.
+
+    ``requested`` has SERIES and ``horizon``. The stores that it asks for are known at run time
+    and prune the folders that are read.
+    """
+    asked = requested.filter(F.col("horizon") == horizon)
+    return forecast_for(stored.filter(F.col("horizon") == horizon).drop("horizon"), asked)
 
 
 def forecast_for(forecasts: DataFrame, requested: DataFrame) -> DataFrame:
