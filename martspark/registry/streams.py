@@ -180,11 +180,15 @@ def _(t):
 
 @query("r12_streamed_rate_limit", RATE_LIMITED)
 def _(t):
-    """R12 as a stateful stream over the log written in time order."""
+    """R12 as a stateful stream over the log; a last request, long after, moves the watermark past all others."""
     path, out = working_path(t.spark, "requests"), working_path(t.spark, "limited")
     log = tables.request_log(t)
-    streams.write_replay(log, F.col("ts"), path, slices=3)
-    live = streams.parquet_stream(t.spark, path, log.schema, files_per_trigger=1)
-    limited = windows.rate_limited_stream(live, SHORT_LIMIT, SHORT_WINDOW)
-    finished(windows.run_to_table(limited, out, working_path(t.spark, "limited-checkpoint")))
+    ending = log.agg(*(F.max(c).alias(c) for c in log.columns)).withColumns({
+        "ts": F.col("ts") + F.expr("INTERVAL 60 DAYS"), "request_id": F.lit(-1).cast("long")}).select(*log.columns)
+    log.repartition(3).write.parquet(path)
+    ending.write.mode("append").parquet(path)
+    live = streams.parquet_stream(t.spark, path, log.schema, files_per_trigger=2)
+    limited = windows.rate_limited_stream(live, SHORT_LIMIT, SHORT_WINDOW, lateness="30 days")
+    with windows.rocks_state(t.spark):
+        finished(windows.run_to_table(limited, out, working_path(t.spark, "limited-checkpoint")))
     return t.spark.read.parquet(out)

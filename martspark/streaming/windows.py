@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Iterator
+from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from martspark.operators.ratelimit import RATE_LIMIT, RATE_WINDOW_SECONDS, decide
 
@@ -39,28 +41,93 @@ def newest(spark: SparkSession, path: str, schema: T.StructType, keys: list[str]
     return last.select(*keys, *(F.col(f"m.{name}").alias(name) for name in measures))
 
 
+class RateLimiter(StatefulProcessor):
+    """Decides a client's requests in the order of their times, once the watermark has passed them.
+
+    State of a client: requests that wait for the watermark, and at most ``limit`` accepted
+    times. A timer stands at the earliest waiting request; when nothing waits it stands
+    where the newest accepted time leaves the window and then clears the client.
+    """
+
+    def __init__(self, fields: T.StructType, limit: int, window_us: int):
+        self.fields, self.limit, self.window_us = fields, limit, window_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        waiting = T.StructType([T.StructField("us", T.LongType()), *self.fields.fields])
+        self.waiting = handle.getListState("waiting", waiting)
+        self.accepted = handle.getListState("accepted", T.StructType([T.StructField("us", T.LongType())]))
+
+    def _wake(self, us: int, watermark_ms: int) -> None:
+        self.handle.registerTimer(max(us // 1000, watermark_ms) + 1)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        first = None
+        for frame in rows:
+            times = frame["ts"].astype("datetime64[us]").astype("int64")
+            frame = frame[[f.name for f in self.fields.fields]].assign(ts=frame["ts"].dt.to_pydatetime())
+            self.waiting.appendList([(us, *row) for us, row in zip(times.tolist(), frame.itertuples(index=False, name=None))])
+            first = min(first, int(times.min())) if first is not None else int(times.min())
+        if first is not None:
+            self._wake(first, timerValues.getCurrentWatermarkInMs())
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        watermark_ms = timerValues.getCurrentWatermarkInMs()
+        ready, later = [], []
+        for row in self.waiting.get() if self.waiting.exists() else ():
+            (ready if row[0] < watermark_ms * 1000 else later).append(tuple(row))
+        accepted = deque(row[0] for row in self.accepted.get()) if self.accepted.exists() else deque()
+        if ready:
+            names = [f.name for f in self.fields.fields]
+            ready.sort(key=lambda row: (row[0], row[1 + names.index("request_id")]))
+            times = np.array([row[0] for row in ready], dtype=np.int64)
+            decisions = decide(times, accepted, self.limit, self.window_us)
+            self.waiting.clear()
+            if later:
+                self.waiting.put(later)
+            if accepted:
+                self.accepted.put([(us,) for us in accepted])
+            frame = pd.DataFrame([row[1:] for row in ready], columns=names)
+            yield frame.assign(accepted=decisions)
+        if later:
+            self._wake(min(row[0] for row in later), watermark_ms)
+        elif accepted and accepted[-1] + self.window_us > watermark_ms * 1000:
+            self._wake(accepted[-1] + self.window_us, watermark_ms)
+        else:
+            self.accepted.clear()
+            self.waiting.clear()
+
+
+@contextmanager
+def rocks_state(spark: SparkSession) -> Iterator[None]:
+    """Queries that are started inside keep their state in RocksDB, as list states and timers need."""
+    before = spark.conf.get(STATE_STORE)
+    spark.conf.set(STATE_STORE, ROCKS)
+    try:
+        yield
+    finally:
+        spark.conf.set(STATE_STORE, before)
+
+
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def rate_limited_stream(
-    log: DataFrame, limit: int = RATE_LIMIT, window_seconds: int = RATE_WINDOW_SECONDS
+    log: DataFrame, limit: int = RATE_LIMIT, window_seconds: int = RATE_WINDOW_SECONDS, lateness: str = "5 minutes"
 ) -> DataFrame:
-    """Decide the requests of a stream in arrival order of micro-batches.
-
-    The state of a client is its live accepted times, at most ``limit`` of them.
-    There is no processing-time timeout, as it would keep a run over available
-    input from ending. A client's rows of one micro-batch are ordered by time
-    before they are decided.
+    """The batch form of the rate limit as a running query.
+
+    A request is decided when the watermark, ``lateness`` behind the newest time seen,
+    has passed it; one that comes later than that is dropped by the watermark. So decisions
+    do not depend on how the input is cut into micro-batches, and requests within ``lateness`` of the
+    end of the input wait for more of it. Times are compared by the microsecond; rows without a client
+    or a time belong to no client. State lies in RocksDB
+    (``rocks_state``).
     """
-    window_us = window_seconds * 1_000_000
-    columns = log.columns
-
-    def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        accepted = deque(state.get[0]) if state.exists else deque()
-        rows = pd.concat(list(frames)).sort_values(["ts", "request_id"])
-        times = rows["ts"].astype("datetime64[us]").astype("int64").to_numpy()
-        decisions = decide(times, accepted, limit, window_us)
-        state.update(([int(x) for x in accepted],))
-        yield rows[columns].assign(accepted=decisions)
-
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in log.schema.fields)
-    return log.groupBy("client").applyInPandasWithState(
-        step, f"{fields}, accepted boolean", "accepted array<long>", "append", GroupStateTimeout.NoTimeout
-    )
+    log = log.filter("client is not null and ts is not null")
+    out = T.StructType([*log.schema.fields, T.StructField("accepted", T.BooleanType())])
+    limiter = RateLimiter(log.schema, limit, window_seconds * 1_000_000)
+    return log.withWatermark("ts", lateness).groupBy("client").transformWithStateInPandas(
+        limiter, outputStructType=out, outputMode="Append", timeMode="EventTime")
