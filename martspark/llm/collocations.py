@@ -298,10 +298,10 @@ def surviving_keys(texts: DataFrame, threshold: int = THRESHOLD) -> tuple[DataFr
     return _with_small_batches(merged, "survivors"), bits
 
 
-def bitmap_slices(frames: Iterator[pa.RecordBatch], cut: int, bits: int) -> Iterator[pa.RecordBatch]:
+def bitmap_slices(frames: Iterator[pa.RecordBatch], cut: int, bits: int, all_bits: int) -> Iterator[pa.RecordBatch]:
     """Rows ``place, bits`` of one range's bitmap; a hash partition fills a run of bits of its own."""
-    width = BITMAP_BITS.bit_length() - 1
-    size = BITMAP_BITS >> (bits - cut)  # bits per hash partition
+    width = all_bits.bit_length() - 1
+    size = all_bits >> (bits - cut)  # bits per hash partition
     for frame in frames:
         for bucket, packed in zip(frame.column(0).to_pylist(), frame.column(1)):
             keys = np.cumsum(_unpacked(packed.as_py()), dtype=_U)
@@ -316,7 +316,7 @@ def bitmap_slices(frames: Iterator[pa.RecordBatch], cut: int, bits: int) -> Iter
 def counted_phrases(frames: Iterator[pa.RecordBatch], bitmap, cut: int, part: int) -> Iterator[pa.RecordBatch]:
     """Rows ``lang, phrase, n_words, n`` of one key range; ``phrase`` is null in the rows that count all words."""
     bitmap = np.frombuffer(bitmap.value, np.uint8)
-    width = BITMAP_BITS.bit_length() - 1
+    width = (8 * len(bitmap)).bit_length() - 1
     for piece in slices(frames):
         if part == 0:
             found, n = np.unique(piece.langs, return_counts=True)
@@ -355,8 +355,9 @@ def frequent_phrases(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     parts = []
     for part in range(1 << cut):
         own = survivors.filter(F.shiftright("bucket", bits - cut) == part).select("bucket", "keys")
-        bitmap = bytearray(BITMAP_BITS // 8)
-        for place, flags in own.mapInArrow(lambda frames: bitmap_slices(frames, cut, bits), "place long, bits binary").collect():
+        bitmap, all_bits = bytearray(BITMAP_BITS // 8), BITMAP_BITS
+        parts_of_it = own.mapInArrow(lambda frames: bitmap_slices(frames, cut, bits, all_bits), "place long, bits binary")
+        for place, flags in parts_of_it.collect():
             bitmap[place:place + len(flags)] = flags
         sent = spark.sparkContext.broadcast(bytes(bitmap))
         counts = texts.mapInArrow(lambda frames, p=part, b=sent: counted_phrases(frames, b, cut, p),
