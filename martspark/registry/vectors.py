@@ -10,6 +10,8 @@ from martspark.functions.routing import REJECTED_PATTERNS
 from martspark.functions.vectors import unit_vector
 from martspark.operators import catalog, profiling
 from martspark.operators import recommending as rec
+from martspark.operators import buckets
+from martspark.operators.model_store import ModelStore
 from martspark.operators.nearest import nearest
 from martspark.registry.base import PAIRS, query, r, rounded
 from martspark.registry.layers import pairs
@@ -58,6 +60,19 @@ def _(t):
     return rounded(rec.projection(items(t)), axis_1=4, axis_2=4)
 
 
+BUCKET_ROWS = 48  # the test vectors are few: smaller buckets than the default's, so that there are many
+
+
+def bucketed_items(t):
+    return buckets.near(items(t).withColumnRenamed("item_id", "query_id"), items(t), 10, exclude_self=True, bucket_rows=BUCKET_ROWS)
+
+
+@query("m17_bucketed_items")
+def _(t):
+    """M17 by candidates from random-projection buckets; similarities are exact, rows may lack."""
+    return rounded(bucketed_items(t), similarity=6)
+
+
 # ------------------------------------------------------------- recommendations
 
 
@@ -82,6 +97,38 @@ def _(t):
     return factors(t).items.groupBy(size).agg(F.count(F.lit(1)).alias("items"))
 
 
+@query("m17_bucket_recall", f"""WITH {PAIRS},
+n AS (SELECT count(*) AS n FROM embeddings), rated AS (SELECT * FROM pairs WHERE interaction_score > 0)
+SELECT 'items' AS kind, n * least(10, n - 1) AS neighbours, TRUE AS enough FROM n
+UNION ALL SELECT 'users', count(DISTINCT user_id) * least(10, count(DISTINCT product_id)), TRUE FROM rated""")
+def _(t):
+    """M16, M17 and C5 by buckets: at least nine of ten exact neighbours are found."""
+    users = factors(t).users.withColumnRenamed("user_id", "query_id")
+    exact = {"items": rec.similar_items(items(t), 10), "users": nearest(users, factors(t).items, 10)}
+    found = {"items": bucketed_items(t), "users": buckets.near(users, factors(t).items, 10, bucket_rows=BUCKET_ROWS)}
+    rows = None
+    for kind in exact:
+        row = buckets.recall(found[kind], exact[kind]).select(F.lit(kind).alias("kind"), "neighbours", (F.col("recall") >= 0.9).alias("enough"))
+        rows = row if rows is None else rows.unionByName(row)
+    return rows
+
+
+@query("k11_reloaded_factors", f"""WITH {PAIRS}, rated AS (SELECT * FROM pairs WHERE interaction_score > 0)
+SELECT count(DISTINCT product_id) AS items, count(DISTINCT user_id) AS users, CAST(0 AS BIGINT) AS differing FROM rated""")
+def _(t):
+    """Factors saved as a version with their parameters, promoted, loaded and asked again."""
+    first, store = factors(t), ModelStore(t.spark, working_path(t.spark, "models"))
+    shape = {"factors": rec.FACTORS, "iterations": rec.ITERATIONS, "regularisation": rec.REGULARISATION}
+    store.save("recommender", "als", first.save, shape, {"miss_rate": 1.0})
+    again = rec.Factors.load(t.spark, store.promote("recommender", "miss_rate").path)
+    keys = ["user_id", "position"]
+    left = rec.recommendations(first, first.users, 5).select(*keys, F.col("product_id").alias("_first"))
+    right = rec.recommendations(again, again.users, 5).select(*keys, "product_id")
+    differing = left.join(right, keys, "full").agg(F.count_if(~F.col("_first").eqNullSafe(F.col("product_id"))))
+    return again.items.agg(F.count(F.lit(1)).alias("items")).select(
+        "items", again.users.agg(F.count(F.lit(1))).scalar().alias("users"), differing.scalar().alias("differing"))
+
+
 @query("m12_hit_rate")
 def _(t):
     return rounded(rec.hit_rate(rated(t)), hit_rate=4)
