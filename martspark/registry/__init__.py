@@ -11,5 +11,6 @@ from martspark.registry import (  # noqa: F401  (importing a module registers it
     streams,
     vectors,
 )
+from martspark.registry import invariants  # noqa: F401, E402  (after the entries that it checks)
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -10,7 +10,7 @@ from martspark.functions.routing import REJECTED_PATTERNS
 from martspark.functions.vectors import unit_vector
 from martspark.operators import catalog, profiling
 from martspark.operators import recommending as rec
-from martspark.operators import buckets
+from martspark.operators import buckets, latent
 from martspark.operators.model_store import ModelStore
 from martspark.operators.nearest import nearest
 from martspark.registry.base import PAIRS, query, r, rounded
@@ -324,6 +324,32 @@ def _(t):
     return index.select("id", F.size("embedding").alias("dimensions"), "metadata.product_name")
 
 
+LATENT_WIDTH = 64
+
+
+@query("c04_latent_retrieval", """SELECT count(*) FILTER (doc_id % 10 = 0) AS questions, TRUE AS better, TRUE AS most_found
+FROM (SELECT doc_id FROM documents WHERE regexp_matches(text, '\\w') GROUP BY doc_id)""")
+def _(t):
+    """Texts found by every other word of them, by latent vectors against hashed ones of the same width."""
+    texts = t("documents", "doc_id", "text").filter(F.col("text").rlike(r"\w")).groupBy(F.col("doc_id").alias("item_id")).agg(
+        F.min("text").alias("text"))
+    # Copies cannot be told apart: each text is in the index once, under its smallest id.
+    corpus = written(texts.groupBy("text").agg(F.min("item_id").alias("item_id")), "texts")
+    own = texts.filter(F.col("item_id") % 10 == 0).join(corpus.withColumnRenamed("item_id", "_own"), "text")
+    half = F.array_join(F.filter(F.split("text", r"\s+"), lambda _, i: i % 2 == 0), " ")
+    asked = written(own.select("item_id", "_own", half.alias("text")), "questions")
+    hits = {}
+    for kind, encoder in (("latent", latent.LatentEncoder.fit(corpus, "text", LATENT_WIDTH)),
+                          ("hashed", catalog.TextEncoder.fit(corpus, "text", LATENT_WIDTH))):
+        index = encoder(corpus, "text").select("item_id", F.col("vector").cast("array<double>").alias("vector"))
+        vectors = encoder(asked, "text").select(F.col("item_id").alias("query_id"), F.col("vector").cast("array<double>").alias("vector"))
+        found = nearest(vectors, index, 3).join(asked.select(F.col("item_id").alias("query_id"), "_own"), "query_id")
+        hits[kind] = found.filter(F.col("item_id") == F.col("_own")).agg(F.count(F.lit(1)))
+    return asked.agg(F.count(F.lit(1)).alias("questions")).select(
+        "questions", (hits["latent"].scalar() >= hits["hashed"].scalar()).alias("better"),
+        (hits["latent"].scalar() >= 0.9 * F.col("questions")).alias("most_found"))
+
+
 @query("q08_answer_contexts")
 def _(t):
     """Q8 with C5 to C7: screened questions, their closest documents and the context text."""
