@@ -63,6 +63,14 @@ def with_class_counts(df: DataFrame) -> DataFrame:
         *(f"left{k}" for k in range(len(CLASSES) + 1)))
 
 
+def _few(per_language: DataFrame) -> DataFrame:
+    """A written table with a row per language, to be sent to all tasks if it is small.
+
+    Beyond that it takes part in a plain join, whose skewed languages Spark splits at run time.
+    """
+    return F.broadcast(per_language) if per_language.count() <= BROADCAST_LANGUAGES else per_language
+
+
 def references(texts: DataFrame) -> DataFrame:
     """``lang, common, word_shares, class_shares`` per language of ``texts(lang, text)``.
 
@@ -71,7 +79,7 @@ def references(texts: DataFrame) -> DataFrame:
     """
     words = texts.select("lang", F.explode(words_of(F.col("text"))).alias("word"))
     counts = written(words.groupBy("lang", "word").agg(F.count("*").alias("n")), "word-counts")
-    totals = counts.groupBy("lang").agg(F.sum("n").alias("n_words"))
+    totals = _few(written(counts.groupBy("lang").agg(F.sum("n").alias("n_words")), "language-totals"))
     frequent = counts.join(totals, "lang").filter(F.col("n") * COMMON_WORD_SHARE >= F.col("n_words"))
     listed = frequent.groupBy("lang").agg(
         F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("minus_n"), "word"))).alias("by_count"))
@@ -136,9 +144,7 @@ def judged(docs: DataFrame, refs: DataFrame | None = None) -> DataFrame:
     """
     texts = {"text": F.coalesce(F.col("text").cast("string"), F.lit("")), "lang": F.coalesce(F.col("lang").cast("string"), F.lit(""))}
     if refs is None:
-        refs = written(references(docs.select(*(c.alias(n) for n, c in texts.items()))), "references")
-        if refs.count() <= BROADCAST_LANGUAGES:
-            refs = F.broadcast(refs)  # beyond that a plain join, whose skewed languages Spark splits at run time
+        refs = _few(written(references(docs.select(*(c.alias(n) for n, c in texts.items()))), "references"))
     rows = with_base_counts(with_class_counts(packed(docs, **texts))).join(refs, "lang", "left")
     found = F.transform("words", lambda w: F.array_position("common", w))
     rows = rows.withColumn("found", F.filter(found, lambda k: k > 0)).withColumn("word_counts", F.concat(
