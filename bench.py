@@ -20,6 +20,7 @@ HEADLINE = [
     "q03_inventory_status", "q04_weekly_totals", "r01_enriched_feed", "r02_inventory_alerts", "r09_latency_quantiles",
     "r12_rate_limited", "p08_clean_invoices", "p04_stg_products", "j02_priced_sales", "e02_describe_revenue",
     "d06_suite_mart_executive_kpis", "m17_similar_items", "a15_product_lookup",
+    "m01_sparse_features", "m17_bucketed_items", "m08_fixed_weights", "r04_streamed_enriched",
 ]
 
 

@@ -8,9 +8,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from martspark.operators import catalog
+from martspark.operators import catalog, plane
 from martspark.operators import forecasting as fc
 from martspark.operators import recommending as rec
+from martspark.operators.nearest import nearest
 from martspark.registry import vectors
 from martspark.registry.base import ORACLES, PAIRS, QUERIES, query
 from martspark.registry.forecasting import FEATURES, FOLDS, LAST, boosted, forecasts, trained
@@ -125,6 +126,24 @@ def _(t):
                     (F.var_pop(x) >= F.var_pop(y)).alias("first_axis_is_longer"), (F.abs(F.corr(x, y)) < 1e-6).alias("uncorrelated"))
 
 
+PLANE_STEPS = 8
+
+
+@query("m18_neighbour_plane", """SELECT count(*) AS points, count(*) * least(10, count(*) - 1) AS neighbours, TRUE AS keeps_more
+FROM embeddings""")
+def _(t):
+    """The neighbour-keeping plane of the item vectors keeps more of their neighbours than their main axes do."""
+    items = vectors.items(t)
+    neighbours = written(rec.similar_items(items, plane.NEIGHBOURS), "neighbours")
+    axes = written(rec.projection(items).select(F.col("product_id").alias("id"), F.col("axis_1").alias("x"), F.col("axis_2").alias("y")),
+                   "main-axes")
+    places = written(plane.neighbour_plane(axes, neighbours, PLANE_STEPS), "plane")
+    near = lambda queries, corpus, k: nearest(queries, corpus, k, exclude_self=True)
+    before, after = (plane.kept_neighbours(flat, neighbours, near) for flat in (axes, places))
+    return after.select(places.agg(F.count(F.lit(1))).scalar().alias("points"), "neighbours",
+                        (F.col("kept") > before.select("kept").scalar()).alias("keeps_more"))
+
+
 @query("q08_context_checks", f"""SELECT count(*) FILTER (NOT rejected) AS questions, count(*) FILTER (NOT rejected) AS with_five_lines
 FROM ({ORACLES['c07_screened_questions']})""")
 def _(t):
