@@ -46,7 +46,10 @@ STEP = 1 << 14
 MAX_HEADER = 1 << 16
 LEVEL = 6
 
-MANIFEST = "file string, n_records long, n_bytes long"
+MAX_RECORD = 1 << 28
+
+# ``largest``: a bound of the bytes of the archive's largest record, unpacked.
+MANIFEST = "file string, n_records long, n_bytes long, largest long"
 RECORDS = ("page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, "
            "payload binary, file string, start long, length long")
 GAPS = "file string, start long, length long, reason string"
@@ -86,11 +89,11 @@ class Damaged(Exception):
     """A record that fails a check."""
 
 
-def parse_record(data: bytes) -> tuple[dict[str, str], bytes, int]:
-    """Headers, body and size of the record at the start of ``data``."""
+def parse_record(data: bytes, max_header: int = MAX_HEADER) -> tuple[dict[str, str], bytes, int]:
+    """Headers, body and size of the record at the start of ``data``; a search in foreign bytes bounds the header."""
     if not data.startswith(b"WARC/1."):
         raise Damaged("no version line")
-    end = data.find(b"\r\n\r\n", 0, MAX_HEADER)
+    end = data.find(b"\r\n\r\n", 0, max_header)
     if end < 0:
         raise Damaged("header without end")
     try:
@@ -110,7 +113,7 @@ def parse_record(data: bytes) -> tuple[dict[str, str], bytes, int]:
 class Salvager:
     """Valid records and gaps of one file, front to back."""
 
-    def __init__(self, source, max_record: int = 1 << 28):
+    def __init__(self, source, max_record: int = MAX_RECORD):
         self.source, self.max_record = source, max_record
         self.held, self.at, self.ended = bytearray(), 0, False
 
@@ -138,7 +141,7 @@ class Salvager:
             if len(out) == 1 and not b"WARC/1."[:len(out[0])] == out[0][:7]:
                 raise Damaged("no version line")
         data = b"".join(out)
-        headers, body, n = parse_record(data)
+        headers, body, n = parse_record(data, len(data))  # a whole member has no longer header than itself
         if n != len(data):
             raise Damaged("member holds more than its record")
         return headers, body, used - len(unpacker.unused_data)
@@ -225,7 +228,7 @@ def write_warc(pages: DataFrame, path: str, min_bytes: int = 0) -> DataFrame:
 
     def write(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name = f"pages-{uuid.uuid4().hex}.warc.gz"
-        sink, n, size = None, 0, 0
+        sink, n, size, largest = None, 0, 0, 0
         for frame in batches(frames):
             if sink is None:
                 out, base = filesystem(folder)
@@ -234,10 +237,11 @@ def write_warc(pages: DataFrame, path: str, min_bytes: int = 0) -> DataFrame:
                 record = encode_record(page_id.as_py(), url.as_py(), payload.as_py(), refers_to.as_py(), revisit.as_py())
                 sink.write(record)
                 n, size = n + 1, size + len(record)
+                largest = max(largest, len(payload.as_py()) + 3 * len((url.as_py() or "").encode()) + 4096)
         if sink is not None:
             sink.close()
-            yield pa.record_batch([pa.array([name]), pa.array([n], pa.int64()), pa.array([size], pa.int64())],
-                                  names=["file", "n_records", "n_bytes"])
+            yield pa.record_batch([pa.array([name]), *(pa.array([x], pa.int64()) for x in (n, size, largest))],
+                                  names=["file", "n_records", "n_bytes", "largest"])
 
     manifest = posixpath.join(path, "manifest")
     with_record_types(pages, min_bytes).mapInArrow(write, MANIFEST).write.parquet(manifest)
@@ -245,23 +249,32 @@ def write_warc(pages: DataFrame, path: str, min_bytes: int = 0) -> DataFrame:
 
 
 def _files(spark: SparkSession, folder: str, files: DataFrame) -> DataFrame:
-    """File names dealt out to tasks of their own."""
+    """``file, n_records, largest`` once per file, spread over the session's tasks; unknown numbers are null.
+
+    Ranges, unlike a hash of the file, are not what the grouping already gives, so Spark keeps
+    this exchange, and a fixed number of partitions is not merged at run time.
+    """
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return files.select("file").distinct().repartition(n, "file")
+    known = [F.max(c).alias(c) if c in files.columns else F.lit(None).cast("long").alias(c) for c in ("n_records", "largest")]
+    return files.groupBy("file").agg(*known).repartitionByRange(n, "file")
 
 
-def salvage(folder: str, name: str) -> Iterator[tuple]:
+def salvage(folder: str, name: str, max_record: int = MAX_RECORD) -> Iterator[tuple]:
     fs, base = filesystem(folder)
     with fs.open_input_stream(f"{base}/{name}", compression=None) as source:
-        yield from Salvager(source)
+        yield from Salvager(source, max_record)
 
 
 def _whole(value: str | None) -> int | None:
     return int(value) if value and value.lstrip("-").isdigit() else None
 
 
-def read_warc(spark: SparkSession, folder: str, files: DataFrame, payloads: bool = True) -> DataFrame:
-    """All valid records of ``files(file)`` in ``folder``, in ``RECORDS`` columns."""
+def read_warc(spark: SparkSession, folder: str, files: DataFrame, payloads: bool = True, whole: bool = False) -> DataFrame:
+    """All valid records of ``files(file)`` in ``folder``, in ``RECORDS`` columns.
+
+    A manifest as ``files`` gives the bound of a record's size. With ``whole`` the read fails, and
+    names the gaps, if an archive does not hold as many valid records as its manifest says.
+    """
 
     def read(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.string(),
@@ -272,12 +285,14 @@ def read_warc(spark: SparkSession, folder: str, files: DataFrame, payloads: bool
             return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
         for frame in batches(frames):
-            for name in frame.column(0).to_pylist():
-                rows, size = [], 0
-                for what, start, length, *rest in salvage(folder, name):
+            for name, expected, largest in zip(*(column.to_pylist() for column in frame.columns)):
+                rows, size, found, gaps = [], 0, 0, []
+                for what, start, length, *rest in salvage(folder, name, max(MAX_RECORD, largest or 0)):
                     if what != "record":
+                        gaps.append((start, length, *rest))
                         continue
                     headers, body = rest
+                    found += 1
                     kind = headers.get("warc-type")
                     n = len(body) if kind == "response" else _whole(headers.get("x-payload-length"))
                     uri = headers.get("warc-target-uri")
@@ -291,6 +306,8 @@ def read_warc(spark: SparkSession, folder: str, files: DataFrame, payloads: bool
                         rows, size = [], 0
                 if rows:
                     yield batch(rows)
+                if whole and expected is not None and found != expected:
+                    raise ValueError(f"{name}: {found} of {expected} records; gaps {gaps[:20]}")
 
     return _files(spark, folder, files).mapInArrow(read, RECORDS)
 
@@ -315,4 +332,4 @@ def archived(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     spark = pages.sparkSession
     path = working_path(spark, "warc")
     manifest = write_warc(pages, path, min_bytes)
-    return read_warc(spark, posixpath.join(path, "archives"), manifest, payloads=False).drop("payload")
+    return read_warc(spark, posixpath.join(path, "archives"), manifest, payloads=False, whole=True).drop("payload")

@@ -87,3 +87,32 @@ def test_salvage_recovers_every_whole_record():
     records, gaps = scan(cut)
     assert [p for _, _, p in records] == payloads[:7] + payloads[9:12] and len(gaps) == 2
     assert scan(b"") == ([], []) and scan(b"nothing here") == ([], [(0, 12)])
+
+
+def test_long_urls_and_many_tasks(spark, tmp_path):
+    """A header of any length comes back, and archives are read by tasks of their own."""
+    pages = spark.createDataFrame([(k, f"u{k}" + "x%" * 40_000 * (k % 7 == 0), f"<p>{k}") for k in range(60)],
+                                  "page_id long, url string, html string").repartition(6)
+    path = str(tmp_path / "w")
+    manifest = write_warc(pages, path)
+    assert manifest.count() == 6
+    records = read_warc(spark, path + "/archives", manifest, whole=True)
+    assert {r.url for r in records.collect()} == {r.url for r in pages.collect()}
+    from pyspark.sql import functions as F
+    assert records.select(F.spark_partition_id().alias("p")).distinct().count() >= 4
+
+
+def test_a_lost_record_fails_a_whole_read(spark, tmp_path):
+    import pytest
+
+    pages = spark.createDataFrame([(k, "u", f"<p>{k}") for k in range(20)], "page_id long, url string, html string").coalesce(1)
+    path = str(tmp_path / "w")
+    manifest = write_warc(pages, path)
+    name = f"{path}/archives/{manifest.first().file}"
+    data = bytearray(open(name, "rb").read())
+    data[-6] ^= 255  # in the checksum of the last member
+    open(name, "wb").write(data)
+    assert read_warc(spark, path + "/archives", manifest).count() == 19
+    assert read_gaps(spark, path + "/archives", manifest).count() == 1
+    with pytest.raises(Exception, match="19 of 20 records"):
+        read_warc(spark, path + "/archives", manifest, whole=True).count()
