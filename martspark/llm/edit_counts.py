@@ -110,6 +110,7 @@ class TokenTree:
                 regions[-1][2].append((start, end, new))
             else:
                 regions.append([first, last, [(start, end, new)]])
+        self.regions = regions
         for first, last, inside in regions:
             low = self.starts[first] if self.starts else 0
             high = self.starts[last + 1] if last + 1 < len(self.starts) else len(self.text)
@@ -125,6 +126,33 @@ class TokenTree:
         return "".join(out) + self.text[copied:]
 
 
+class KeptTree(TokenTree):
+    """A tree that stands for the edited text after each batch of edits, so that the next one can start from it.
+
+    Leaves that an edit merged into the one before stay as empty leaves at the end of it.
+    """
+
+    def _leaves(self, start: int, end: int) -> tuple[int, int]:
+        first, last = super()._leaves(start, end)
+        while first and start <= self.starts[first] + 1:  # an empty leaf gives no context
+            first -= 1
+        return first, last
+
+    def advance(self, edits: list[Edit], encode: Encoder) -> None:
+        """Apply edits and take over the new text."""
+        text = self.apply(edits, encode)
+        starts, moved, k = [], 0, 0
+        merged = {first: (last, inside) for first, last, inside in self.regions}
+        while k < len(self.starts):
+            starts.append(self.starts[k] + moved)
+            last, inside = merged.get(k, (k, ()))
+            moved += sum(len(new) - (end - start) for start, end, new in inside)
+            stop = self.starts[last + 1] if last + 1 < len(self.starts) else len(self.text)
+            starts += [stop + moved] * (last - k)
+            k = last + 1
+        self.text, self.starts = text, starts or [0][:len(text)]
+
+
 def token_trees(docs: DataFrame, tokenizer: str) -> DataFrame:
     """``doc_id, text, starts, sums`` per row of ``docs(doc_id, text)``."""
 
@@ -173,3 +201,38 @@ def edited_counts(trees: DataFrame, tokenizer: str, edits: DataFrame | None = No
                                   names=["doc_id", *names])
 
     return given.mapInArrow(update, "doc_id long, " + ", ".join(f"{n} long" for n in names))
+
+
+def edited_trees(trees: DataFrame, tokenizer: str, edits: DataFrame | None = None,
+                 rule: Callable[[str], list[Edit]] | None = None) -> DataFrame:
+    """The trees after edits, ``doc_id, text, starts, sums``: a table to keep and to edit again.
+
+    Edits are given as for ``edited_counts``, in places of the text that the tree holds. Of rows
+    that share an id, each takes the edits of that id.
+    """
+    given = trees.select("doc_id", "text", "starts", "sums")
+    from_table = edits is not None
+    if from_table:
+        listed = edits.filter("doc_id is not null").groupBy("doc_id").agg(
+            F.collect_list(F.struct("start", "end", F.coalesce("replacement", F.lit("")).alias("replacement"))).alias("edits"))
+        given = given.join(listed, "doc_id", "left")
+
+    def update(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = encoder(tokenizer)
+        for frame in batches(frames):
+            kept = []
+            for k in range(frame.num_rows):
+                tree = KeptTree(frame.column("text")[k].as_py() or "", frame.column("starts")[k].as_py(),
+                                frame.column("sums")[k].as_py())
+                wanted = list(rule(tree.text)) if rule else []
+                if from_table:
+                    wanted += [tuple(e.values()) for e in frame.column("edits")[k].as_py() or []]
+                if wanted:
+                    tree.advance(wanted, encode)
+                kept.append(tree)
+            yield pa.record_batch(
+                [frame.column("doc_id"), pa.array([t.text for t in kept], pa.string()),
+                 pa.array([t.starts for t in kept], pa.list_(pa.int64())), pa.array([t.sums for t in kept], pa.list_(pa.int64()))],
+                names=["doc_id", "text", "starts", "sums"])
+
+    return given.mapInArrow(update, "doc_id long, text string, starts array<long>, sums array<long>")

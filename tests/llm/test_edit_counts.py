@@ -3,7 +3,7 @@
 import random
 
 from martspark.llm.bpe import default_tokenizer, encoder
-from martspark.llm.edit_counts import TokenTree, edited_counts, redactions, token_trees
+from martspark.llm.edit_counts import KeptTree, TokenTree, edited_counts, edited_trees, redactions, token_trees
 
 PARTS = ["a", "the", " ", " ", " of", "  ", "\n", "\t", "'s", "12", "é", "日", "\xa0", ".", "!?", " '", "\r\n", "🙂", " word"]
 
@@ -63,3 +63,41 @@ def test_documents_and_edge_rows(spark):
     assert result == sorted([(1, 0, full(encode, "new text"), 1, 0), (2, 0, 0, 0, 0), (0, 3, 3, 0, 0),
                              (3, 3, full(encode, "q  c"), 2, 2), (3, 3, full(encode, "q  z"), 2, 2)])
     assert edited_counts(token_trees(edge.limit(0), default_tokenizer()), default_tokenizer(), rule=redactions).count() == 0
+
+
+def test_batches_of_edits_one_after_the_other(monkeypatch):
+    """A kept tree stands for the edited text: its counts stay those of a full encoding, batch after batch."""
+    encode = encoder(default_tokenizer())
+    rng = random.Random(9)
+    for size in (1, 2, 5):
+        monkeypatch.setattr("martspark.llm.edit_counts.LEAF_SEGMENTS", size)
+        for _ in range(250):
+            text = "".join(rng.choices(PARTS, k=rng.randint(0, 60)))
+            tree = KeptTree.build(text, encode)
+            for _ in range(5):
+                edits = random_edits(rng, len(tree.text))
+                expected, at = [], 0
+                for start, end, new in sorted(edits):
+                    expected += [tree.text[at:start], new]
+                    at = end
+                expected = "".join(expected) + tree.text[at:]
+                tree.advance(edits, encode)
+                assert tree.text == expected
+                assert tree.total == full(encode, expected), (text, expected)
+                assert tree.starts == sorted(tree.starts) and all(0 <= s <= len(expected) for s in tree.starts)
+
+
+def test_trees_of_a_table_are_kept(spark):
+    docs = spark.createDataFrame([(1, "one two three four. " * 40), (2, None), (3, "")], "doc_id long, text string")
+    edits = "doc_id long, start long, end long, replacement string"
+    tokenizer, encode = default_tokenizer(), encoder(default_tokenizer())
+    first = edited_trees(token_trees(docs, tokenizer), tokenizer,
+                         spark.createDataFrame([(1, 0, 3, "many"), (2, 0, 0, "new words"), (1, 100, 104, None)], edits))
+    second = edited_counts(first, tokenizer, spark.createDataFrame([(1, 4, 4, " more"), (2, 3, 3, "er"), (3, 0, 0, "x")], edits))
+    after = {}
+    for r in first.collect():
+        after[r.doc_id] = r.text
+    assert after[2] == "new words" and after[1].startswith("many two")
+    expected = {1: "many more" + after[1][4:], 2: "newer words", 3: "x"}
+    for r in second.collect():
+        assert r.n_tokens == full(encode, after[r.doc_id]) and r.n_tokens_after == full(encode, expected[r.doc_id])
