@@ -28,31 +28,33 @@ def item_features(t):
     return fe.item_features(tables.item_sales(t), HISTORY_FROM, OUTPUT_FROM, tables.STATE_BENEFIT_COLUMNS)
 
 
+_WINDOWED = [
+    *(f"units_lag_{n}" for n in fe.UNIT_LAGS), *(f"price_lag_{n}" for n in fe.PRICE_LAGS),
+    *(f"units_roll_mean_{n}" for n in fe.MEAN_ROWS), *(f"units_roll_std_{n}" for n in fe.STD_ROWS),
+    "price_roll_mean_7", "units_expanding_mean",
+]
+
 FEATURES = DENSE + f""", base AS (
   SELECT *, CAST(unit_sales AS FLOAT) AS u, CAST(sell_price AS FLOAT) AS p FROM dense WHERE sale_date >= DATE '{HISTORY_FROM}'),
 windowed AS (
-  SELECT *, lag(u, 1) OVER w AS units_lag_1, lag(u, 7) OVER w AS units_lag_7, lag(u, 14) OVER w AS units_lag_14,
-         lag(u, 28) OVER w AS units_lag_28, lag(u, 364) OVER w AS units_lag_364,
-         lag(p, 1) OVER w AS price_lag_1, lag(p, 7) OVER w AS price_lag_7,
-         avg(u) OVER w7 AS units_roll_mean_7, avg(u) OVER w14 AS units_roll_mean_14, avg(u) OVER w28 AS units_roll_mean_28,
-         stddev_samp(u) OVER w7 AS units_roll_std_7, stddev_samp(u) OVER w28 AS units_roll_std_28,
+  SELECT *, {', '.join(f'lag(u, {n}) OVER w AS units_lag_{n}' for n in fe.UNIT_LAGS)},
+         {', '.join(f'lag(p, {n}) OVER w AS price_lag_{n}' for n in fe.PRICE_LAGS)},
+         {', '.join(f'avg(u) OVER w{n} AS units_roll_mean_{n}' for n in fe.MEAN_ROWS)},
+         {', '.join(f'stddev_samp(u) OVER w{n} AS units_roll_std_{n}' for n in fe.STD_ROWS)},
          avg(p) OVER w7 AS price_roll_mean_7,
          avg(u) OVER (PARTITION BY store_id, item_id ORDER BY sale_date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
            AS units_expanding_mean
   FROM base
   WINDOW w AS (PARTITION BY store_id, item_id ORDER BY sale_date),
-         w7 AS (PARTITION BY store_id, item_id ORDER BY sale_date ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING),
-         w14 AS (PARTITION BY store_id, item_id ORDER BY sale_date ROWS BETWEEN 14 PRECEDING AND 1 PRECEDING),
-         w28 AS (PARTITION BY store_id, item_id ORDER BY sale_date ROWS BETWEEN 28 PRECEDING AND 1 PRECEDING)),
+         {', '.join(f'w{n} AS (PARTITION BY store_id, item_id ORDER BY sale_date ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)'
+                    for n in fe.MEAN_ROWS)}),
 feat AS (
   SELECT item_id, store_id, dept_id, cat_id, state_id, sale_date, u AS unit_sales, p AS sell_price,
          CASE WHEN has_event THEN 1 ELSE 0 END AS is_event,
          CASE event_name_type WHEN 'Sporting' THEN 1 WHEN 'Cultural' THEN 2 WHEN 'National' THEN 3 WHEN 'Religious' THEN 4
               ELSE 0 END AS event_type,
          CASE state_id WHEN 'AF' THEN s0 WHEN 'AM' THEN s1 WHEN 'AS' THEN s2 ELSE 0 END AS is_snap,
-         units_lag_1, units_lag_7, units_lag_14, units_lag_28, units_lag_364, price_lag_1, price_lag_7,
-         units_roll_mean_7, units_roll_mean_14, units_roll_mean_28, units_roll_std_7, units_roll_std_28,
-         price_roll_mean_7, units_expanding_mean,
+         {', '.join(_WINDOWED)},
          extract('dow' FROM sale_date) AS day_of_week, dayofmonth(sale_date) AS day_of_month,
          extract('week' FROM sale_date) AS week_of_year, month(sale_date) AS month, year(sale_date) AS year,
          CASE WHEN extract('dow' FROM sale_date) IN (0, 6) THEN 1 ELSE 0 END AS is_weekend,
@@ -61,17 +63,13 @@ feat AS (
   FROM windowed
   WHERE sale_date >= DATE '{OUTPUT_FROM}' AND units_lag_28 IS NOT NULL AND units_lag_364 IS NOT NULL)"""
 
-_ROUNDED = {c: 2 for c in ("sell_price", "price_lag_1", "price_lag_7", "price_roll_mean_7")} | {
-    c: 4 for c in (
-        "units_roll_mean_7", "units_roll_mean_14", "units_roll_mean_28", "units_roll_std_7", "units_roll_std_28",
-        "units_expanding_mean",
-    )
-}
+_ROUNDED = {c: 2 for c in ("sell_price", *_WINDOWED) if "price" in c} | {
+    c: 4 for c in _WINDOWED if "roll" in c and "units" in c or "expanding" in c}
 _WHOLE = [
     "is_event", "event_type", "is_snap", "day_of_week", "day_of_month", "week_of_year", "month", "year", "is_weekend",
     "is_month_start", "is_month_end",
 ]
-_EXACT = ["unit_sales", "units_lag_1", "units_lag_7", "units_lag_14", "units_lag_28", "units_lag_364"]
+_EXACT = ["unit_sales", *(f"units_lag_{n}" for n in fe.UNIT_LAGS)]
 
 
 @query("m01_item_features", f"""WITH {FEATURES}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from functools import lru_cache
 
 from pyspark.sql import functions as F
@@ -55,7 +56,7 @@ def performance(t: Tables):
 
 @lru_cache(maxsize=8)
 def _built(spark, folder, state):
-    return build(Tables(spark, folder), working_path(spark, "warehouse"), f"_{abs(hash((folder, state))):x}")
+    return build(Tables(spark, folder), working_path(spark, "warehouse"), f"_{hashlib.sha256(f'{folder} {state}'.encode()).hexdigest()[:16]}")
 
 
 def built(t: Tables):

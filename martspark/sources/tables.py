@@ -8,6 +8,7 @@ out and get the same rows.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -135,12 +136,17 @@ def sales(t: Tables) -> DataFrame:
     )
 
 
+@lru_cache(maxsize=8)
+def _shipping_range(spark: SparkSession, folder: str, state: int):
+    """First and last shipping day, read once per session and state of the folder's files."""
+    day = F.to_date("l_shipdate")
+    return tuple(Tables(spark, folder)("lineitem", "l_shipdate").agg(F.min(day), F.max(day)).first())
+
+
 def calendar(t: Tables) -> DataFrame:
     """One row per day of the shipping range, with week number, events and benefit days."""
-    bounds = t("lineitem", "l_shipdate").agg(
-        F.min(F.to_date("l_shipdate")).alias("lo"), F.max(F.to_date("l_shipdate")).alias("hi")
-    )
-    days = bounds.select(F.explode(F.sequence("lo", "hi")).alias("date"), "lo")
+    low, high = (F.lit(day).cast("date") for day in _shipping_range(t.spark, t.folder, t.state()))
+    days = t.spark.range(1).select(F.explode(F.sequence(low, high)).alias("date"), low.alias("lo"))
     return days.select(*_calendar_fields(F.col("date"), F.datediff("date", "lo") + 1))
 
 
