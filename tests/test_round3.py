@@ -17,3 +17,26 @@ def test_unit_vector_takes_its_length_once(spark):
     odd = spark.createDataFrame([(1, [0.0, 0.0]), (2, None), (3, []), (4, [3.0, 4.0])], "id int, vector array<float>")
     assert [r.u for r in odd.orderBy("id").select(unit_vector(F.col("vector")).alias("u")).collect()] == [
         [0.0, 0.0], None, [], [0.6, 0.8]]
+
+
+def test_product_join_is_cut_by_rows(spark):
+    from martspark.session import tasks_for
+    from martspark.sources.cleaning import clean_interactions
+
+    cores = spark.sparkContext.defaultParallelism
+    assert tasks_for(spark, 10, 10) is None and tasks_for(spark, 10 * cores + 1, 10) == cores + 1
+    orders = spark.range(300).select(
+        F.col("id").alias("order_id"), (F.col("id") % 50).alias("user_id"), F.lit("prior").alias("eval_set"),
+        F.lit(1).alias("order_number"), F.lit(1).alias("order_dow"), F.lit(1).alias("order_hour_of_day"),
+        F.lit(1.0).alias("days_since_prior_order"))
+    lines = spark.range(900).select(
+        (F.col("id") % 300).alias("order_id"), F.when(F.col("id") % 7 > 0, F.col("id") % 7).alias("product_id"),
+        F.lit(1).alias("add_to_cart_order"), F.lit(1).alias("reordered"))
+    products = spark.createDataFrame([(1, "a", 1, 1), (1, "b", 1, 1), (2, "c", 1, 2)],
+                                     "product_id long, product_name string, aisle_id int, department_id int")
+    aisles = spark.createDataFrame([(1, "x")], "aisle_id int, aisle string")
+    departments = spark.createDataFrame([(1, "y")], "department_id int, department string")
+    plain = clean_interactions(orders, lines, products, aisles, departments)
+    cut = clean_interactions(orders, lines, products, aisles, departments, tasks=37)
+    assert sorted(map(str, plain.collect())) == sorted(map(str, cut.collect())) and plain.count() > 900
+    assert cut.rdd.getNumPartitions() == 37  # small as they are, the parts are not joined to a few
