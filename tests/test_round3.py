@@ -3,9 +3,12 @@
 import re
 import time
 
+import numpy as np
+
 from pyspark.sql import functions as F
 
 from martspark.functions.vectors import unit_vector
+from martspark.operators import nearest as nearest_op
 
 
 def test_unit_vector_takes_its_length_once(spark):
@@ -80,3 +83,32 @@ def test_feed_messages_are_compressed(spark, tmp_path):
     assert back.filter("category = 'a'").count() == 667 and back.select("txn_id").distinct().count() == 2000
     both = [f for f in (tmp_path / "out").rglob("part-*") if "counters" not in str(f)]
     assert both and all(f.name.endswith(".txt.gz") for f in both)
+
+
+def test_best_columns_equal_a_full_sort():
+    rng = np.random.default_rng(5)
+    for items_n, take, copies in ((300, 7, False), (1000, 10, True), (70, 5, True), (5, 9, False)):
+        unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+        items, vectors = unit(rng.normal(size=(items_n, 16))), unit(rng.normal(size=(40, 16)))
+        if copies:  # equal vectors tie, also over tiles
+            items[items_n // 2:] = items[: items_n - items_n // 2]
+            items[::9], vectors[:5] = items[0], items[0]
+        ids, item_ids = np.arange(40), np.arange(items_n) % 60  # repeated ids
+        for own in (None, nearest_op._own_pairs(ids, item_ids)):
+            full = np.round(vectors @ items.T, nearest_op.DECIMALS)
+            if own is not None:
+                assert sorted(zip(*own)) == sorted(zip(*np.nonzero(ids[:, None] == item_ids[None, :])))
+                full[own] = -np.inf
+            n = min(take, items_n)
+            want = np.argsort(-full, axis=1, kind="stable")[:, :n]
+            rows, columns, values = nearest_op.best_columns(vectors, items, n, own, tile_rows=64)
+            keep = values > -np.inf
+            got = {r: columns[keep & (rows == r)].tolist() for r in range(40)}
+            assert got == {r: [c for c in want[r] if full[r, c] > -np.inf] for r in range(40)}
+
+
+def test_blocks_grow_with_the_tables():
+    sent = lambda q, c, w, cores: q * -(-c // (b := nearest_op._block_rows(q, c, w, cores))) + c * -(-q // b)
+    assert sent(863_400, 1_200_000, 64, 12) < 20_000_000  # rows; 8,192 a block sent 254 million
+    assert nearest_op._block_rows(863_400, 1_200_000, 512, 12) * 512 <= nearest_op.BLOCK_VALUES
+    assert nearest_op._block_rows(2_000, 2_000, 64, 8) == nearest_op.BLOCK_ROWS
