@@ -14,7 +14,8 @@ def ratings(spark):
     pairs = {(int(u), int(i)) for u, i in zip(rng.integers(0, 300, 5000), 90 * rng.random(5000) ** 3)}
     pairs |= {(u, 7) for u in range(300)}  # one product that everyone has
     rows = [(u * 10 + 3, i * 7 + 1, float(rng.random() * 4 + 0.1)) for u, i in sorted(pairs)]
-    rows += rows[:50] + [(3, 1, 0.0), (99_999, 1, -1.0), (3, 88_888, None)]  # repeated pairs count twice, the rest not at all
+    rows += rows[:50] + [(3, 1, 0.0), (99_999, 1, -1.0), (3, 88_888, None), (None, 1, 2.0), (13, None, 2.0)]
+    # Repeated pairs count twice, the rest not at all, but a null id has a place in the index.
     return spark.createDataFrame(rows, "user_id long, product_id long, interaction_score double")
 
 
